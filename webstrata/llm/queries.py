@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import mix, quality, shards, warc
+from webstrata.llm import mix, pieces, pii, quality, shards, topk, warc
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,9 @@ def over(name: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_warc_derivatives": over("pages", warc.op1),
+        "op3_pii_disclosure": over("documents", pii.op3),
+        "op5_uniform_threshold_topk": over("embeddings", topk.op5),
+        "op7_sentencepiece_nbest": over("documents", pieces.op7),
         "op8_sampled_splitters": over("documents", shards.op8),
         "op9_weighted_fair_mix": over("documents", mix.op9),
         "op10_quality_rules": over("documents", quality.op10),
@@ -26,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_weighted_fair_mix": mix.oracle(), "op10_quality_rules": quality.oracle()}
+    return {"op5_uniform_threshold_topk": topk.oracle(), "op9_weighted_fair_mix": mix.oracle(), "op10_quality_rules": quality.oracle()}
