@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import mix, pieces, pii, quality, shards, topk, warc
+from webstrata.llm import mix, pieces, pii, quality, shards, suffix, topk, warc
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def over(name: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_warc_derivatives": over("pages", warc.op1),
+        "op2_suffix_array_dedup": over("documents", suffix.op2),
         "op3_pii_disclosure": over("documents", pii.op3),
         "op5_uniform_threshold_topk": over("embeddings", topk.op5),
         "op7_sentencepiece_nbest": over("documents", pieces.op7),
