@@ -24,7 +24,21 @@ def _inverse(a: int) -> int:
 INVERSE = U(_inverse(int(BASE)))
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; those computed before are kept, up to a million."""
+    had = _kept.get(int(base))
+    if had is not None and len(had) >= n:
+        return had[:n]
+    made = _powers(base, max(n, 4096))
+    if len(made) <= 1 << 20:
+        _kept[int(base)] = made
+    return made[:n]
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     if n:
         out[0] = 1
@@ -59,10 +73,10 @@ class Rolling:
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
-    def windows(self, k: int) -> np.ndarray:
-        """Unmixed hashes of all windows of k symbols."""
+    def all_windows(self, k: int) -> np.ndarray:
+        """As ``windows``, the last one included."""
         n = len(self.sums) - k
-        return (self.sums[k:] - self.sums[:n]) * self.back[:n] if n > 0 else np.empty(0, np.uint64)
+        return (self.sums[k:] - self.sums[:n]) * self.back[:n]
 
 
 def byte_symbols(data: np.ndarray) -> np.ndarray:
@@ -99,6 +113,15 @@ def token_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def token_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash per word."""
+    raw = np.frombuffer(data, np.uint8)
+    start, end = token_bounds(raw)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    return mix(Rolling(byte_symbols(raw)).runs(start, end) ^ (end - start).astype(np.uint64))
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in some [start, end)."""
     steps = np.zeros(n + 1, np.int64)

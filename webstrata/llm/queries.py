@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import mix, pieces, pii, quality, shards, suffix, topk, warc
+from webstrata.llm import debruijn, mix, pieces, pii, quality, shards, suffix, topk, warc
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op2_suffix_array_dedup": over("documents", suffix.op2),
         "op3_pii_disclosure": over("documents", pii.op3),
         "op5_uniform_threshold_topk": over("embeddings", topk.op5),
+        "op6_debruijn_dedup": over("documents", debruijn.op6),
         "op7_sentencepiece_nbest": over("documents", pieces.op7),
         "op8_sampled_splitters": over("documents", shards.op8),
         "op9_weighted_fair_mix": over("documents", mix.op9),
@@ -30,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_uniform_threshold_topk": topk.oracle(), "op9_weighted_fair_mix": mix.oracle(), "op10_quality_rules": quality.oracle()}
+    return {"op5_uniform_threshold_topk": topk.oracle(), "op6_debruijn_dedup": debruijn.oracle(), "op9_weighted_fair_mix": mix.oracle(), "op10_quality_rules": quality.oracle()}

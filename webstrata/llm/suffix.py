@@ -47,7 +47,7 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
     if len(data) < length:
         return (np.empty(0, np.int64),) + (np.empty(0, np.uint64),) * 2
     roll = kernels.Rolling(kernels.byte_symbols(np.frombuffer(data, np.uint8)))
-    hashes = kernels.mix(roll.windows(k) if len(data) > k else roll.runs(np.array([0]), np.array([k])))
+    hashes = kernels.mix(roll.all_windows(k))
     at = kernels.minimizers(hashes, reach + 1)
     start, end = np.maximum(at - reach, 0), np.minimum(at + k + reach, len(data))
     context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(4096) + (end - at).astype(np.uint64)))
@@ -154,7 +154,7 @@ def windows_of(length: int):
                 if len(data) < length:
                     continue
                 symbols = kernels.byte_symbols(np.frombuffer(data, np.uint8))
-                h = [kernels.mix(kernels.Rolling(s).windows(length) if len(data) > length else kernels.Rolling(s).runs(np.array([0]), np.array([length]))) for s in (symbols, kernels.mix(symbols))]
+                h = [kernels.mix(kernels.Rolling(s).all_windows(length)) for s in (symbols, kernels.mix(symbols))]
                 at = np.arange(len(data) - length + 1) + batch.column("a")[i].as_py()
                 same = pa.array(np.full(len(at), i))
                 yield pa.record_batch([pa.array(signed(h[0])), pa.array(signed(h[1])), *(batch.column(c).take(same) for c in ("doc_id", "th", "n")), pa.array(at.astype(np.int32))], names=["w1", "w2", "doc_id", "th", "n", "at"])
