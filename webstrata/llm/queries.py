@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import debruijn, mix, pieces, pii, quality, shards, suffix, topk, warc
+from webstrata.llm import debruijn, jaccard, mix, pieces, pii, quality, shards, suffix, topk, warc
 from webstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_warc_derivatives": over("pages", warc.op1),
         "op2_suffix_array_dedup": over("documents", suffix.op2),
         "op3_pii_disclosure": over("documents", pii.op3),
+        "op4_ngram_jaccard_join": over("documents", jaccard.op4),
         "op5_uniform_threshold_topk": over("embeddings", topk.op5),
         "op6_debruijn_dedup": over("documents", debruijn.op6),
         "op7_sentencepiece_nbest": over("documents", pieces.op7),
