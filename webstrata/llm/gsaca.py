@@ -10,8 +10,6 @@ and its chain of prev pointers at the front of their groups. Nothing is renamed
 
 from __future__ import annotations
 
-from collections import Counter
-
 
 def suffix_array(text: list[int]) -> list[int]:
     """Order of all suffixes of ``text``, whose last symbol must be smaller than every other."""
@@ -31,8 +29,6 @@ def suffix_array(text: list[int]) -> list[int]:
     def lift(g: int, chosen: list[int]) -> None:
         """Move ``chosen`` members of group g to a new group right above what is left of g."""
         m, last = len(chosen), g + size[g] - 1
-        if m == last + 1 - g:
-            return
         fresh = last + 1 - m
         for q in chosen:
             at, r = place[q], order[last]
@@ -52,24 +48,40 @@ def suffix_array(text: list[int]) -> list[int]:
             while p >= 0 and group[p] >= low:
                 p = prev[p]
             prev[i] = p
-            if p >= 0 and size[group[p]] > 1:
-                lift(group[p], [p])
+            if p >= 0:
+                g = group[p]
+                m = size[g]
+                if m > 1:
+                    last = g + m - 1
+                    at = place[p]
+                    r = order[last]
+                    order[last], order[at] = p, r
+                    place[p], place[r] = last, at
+                    group[p] = last
+                    size[g] = m - 1
+                    size[last] = 1
         else:
-            pointed: Counter[int] = Counter()
+            pointed: dict[int, int] = {}
             for i in sorted(order[low:end]):
                 p = i - 1
                 while p >= 0 and group[p] >= low:
                     p = prev[p]
                 prev[i] = p
                 if p >= 0:
-                    pointed[p] += 1
-            for times in sorted(set(pointed.values()), reverse=True):
+                    pointed[p] = pointed.get(p, 0) + 1
+            often = set(pointed.values())
+            for times in sorted(often, reverse=True):
                 by_group: dict[int, list[int]] = {}
                 for p, k in pointed.items():
                     if k == times:
-                        by_group.setdefault(group[p], []).append(p)
+                        g = group[p]
+                        if g in by_group:
+                            by_group[g].append(p)
+                        else:
+                            by_group[g] = [p]
                 for g, chosen in by_group.items():
-                    lift(g, chosen)
+                    if size[g] > len(chosen):
+                        lift(g, chosen)
         end = low
 
     out, front, placed = [0] * n, list(range(n)), bytearray(n)

@@ -83,8 +83,8 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _table[data]
 
 
-def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Places that hold the (rightmost) smallest of some ``w`` consecutive hashes, ascending; all-in-one for one text."""
+def argmins(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For each run of ``w`` consecutive hashes, the place of its (rightmost) smallest."""
     n = len(hashes)
     if n < w or w < 1:
         return np.empty(0, np.int64)
@@ -98,8 +98,22 @@ def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(right[: n - w + 1], left[w - 1 : n])
-    at = (mask - (least & mask)).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return (mask - (least & mask)).astype(np.int64)
+
+
+def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Places that are the smallest of some ``w`` consecutive hashes, ascending."""
+    at = argmins(hashes, w)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+
+
+def minimizer_runs(hashes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same places, with the first and last of the runs each is the smallest of."""
+    at = argmins(hashes, w)
+    if not len(at):
+        return at, at, at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], first, np.append(first[1:], len(at)) - 1
 
 
 SPACE = np.zeros(256, bool)

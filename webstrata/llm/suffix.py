@@ -2,7 +2,7 @@
 
 Partitioning makes the suffix arrays small without losing a match. Of every LENGTH-byte string the ``ANCHOR``-byte
 piece with the smallest hash (its minimizer) is chosen; equal strings choose equal pieces. So strings only need
-comparing around equal anchors, in the context that any string choosing the anchor can reach.
+comparing around equal anchors, in the context that the strings choosing the anchor cover.
 
 1. All documents: hashes of anchors, counted; those seen once are done with (a bitmap of the rest spares the shuffle).
 2. Repeated anchors with a hash of their context, counted again. A context seen twice is repeated as a whole.
@@ -35,23 +35,22 @@ from webstrata.llm.gsaca import suffix_array
 from webstrata.session import materialise
 
 LENGTH = 200
-ANCHOR = 64
+ANCHOR = 32
 MOST_CONTEXTS = 5_000
 #: Contexts per suffix array, about.
 BUCKET = 800
 
 
-def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash and context hash of every anchor of one text."""
-    reach = length - k
+def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, context hash, and context [start, end) of every anchor of one text: the strings that choose it."""
     if len(data) < length:
-        return (np.empty(0, np.int64),) + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     roll = kernels.Rolling(kernels.byte_symbols(np.frombuffer(data, np.uint8)))
     hashes = kernels.mix(roll.all_windows(k))
-    at = kernels.minimizers(hashes, reach + 1)
-    start, end = np.maximum(at - reach, 0), np.minimum(at + k + reach, len(data))
+    at, start, last = kernels.minimizer_runs(hashes, length - k + 1)
+    end = last + length
     context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(4096) + (end - at).astype(np.uint64)))
-    return at, hashes[at], context
+    return hashes[at], context, start, end
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -67,7 +66,7 @@ def count_anchors(length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(t, length, k)[1] for t in texts(batch, 0)]
+            found = [anchors(t, length, k)[0] for t in texts(batch, 0)]
             h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.record_batch([pa.array(signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -80,20 +79,19 @@ def occurrences(length: int, k: int, wanted, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             blobs: list[bytes] = []
             for i, t in enumerate(texts(batch, 2)):
-                at, h, c = anchors(t, length, k)
-                keep = bits.holds(words, h ^ c if with_bytes else h) if len(at) else np.empty(0, bool)
+                h, c, start, end = anchors(t, length, k)
+                keep = bits.holds(words, h ^ c if with_bytes else h) if len(h) else np.empty(0, bool)
                 if not keep.any():
                     continue
-                at, h, c = at[keep], h[keep], c[keep]
-                start, end = np.maximum(at - (length - k), 0), np.minimum(at + length, len(t))
-                for column, values in zip(rows, (np.full(len(at), i), signed(h), signed(c), at, start, end), strict=True):
+                h, c, start, end = h[keep], c[keep], start[keep], end[keep]
+                for column, values in zip(rows, (np.full(len(h), i), signed(h), signed(c), start, end), strict=True):
                     column.append(values)
                 if with_bytes:
                     blobs += [t[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            i, h, c, _, start, end = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            i, h, c, start, end = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
             i = pa.array(i)
             out = [batch.column(0).take(i), batch.column(1).take(i), pa.array(h), pa.array(c), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
             names = ["doc_id", "th", "h", "c", "a", "b"]
