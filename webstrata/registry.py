@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webstrata.plans import content, graph  # noqa: F401  (they enter their queries)
+from webstrata.plans.catalog import CATALOG
+
 FLAGSHIP = "consistency_report"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items() if sql}
