@@ -8,10 +8,13 @@ less selective.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.session import stored
+
 LEAST, MOST = 1 << 16, 1 << 29
 
 
@@ -31,3 +34,77 @@ def holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes (uint64) may be in the bitmap."""
     at = hashes & np.uint64(len(words) * 64 - 1)
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """40-bit numbers in five bytes each."""
+    return (v >> np.uint64(8)).astype("<u4").tobytes() + (v & np.uint64(255)).astype("u1").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(blob, "u1", n, 4 * n)
+
+
+def repeated(rows: DataFrame, hashes) -> Broadcast:
+    """Bitmap of the hashes seen more than once over all rows; ``hashes(batch)`` gives a batch's (uint64, repeats kept).
+
+    Every task sends each bucket one block of 40-bit numbers, each number once, or twice if the task saw it again; so
+    what is shuffled is five bytes a distinct hash and task, and the hottest hash is two entries a task. Numbers that
+    only agree in their first 40 bits pass for repeated, which the bitmap's users have to stand anyway.
+    """
+    parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism)
+    power = min(14, max(5, (4 * parts - 1).bit_length()))
+
+    def deal(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            v, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            v = np.repeat(v, np.minimum(n, 2))
+            bucket = (v >> np.uint64(64 - power)).astype(np.int32)
+            low = (v << np.uint64(power)) >> np.uint64(24)
+            cuts = np.searchsorted(bucket, np.arange((1 << power) + 1))
+            some = [b for b in range(1 << power) if cuts[b] < cuts[b + 1]]
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array([_packed(low[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], names=["bucket", "v"])
+
+        size = 0
+        for batch in batches:
+            held.append(hashes(batch))
+            size += len(held[-1])
+            if size > 3_000_000:
+                yield flush()
+                size = 0
+        yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        v = np.sort(np.concatenate([_unpacked(b) for b in table.column("v").to_pylist()]))
+        again = np.unique(v[1:][v[1:] == v[:-1]])
+        return pa.table([table.column("bucket").slice(0, 1), pa.array([len(again)], pa.int64()), pa.array([_packed(again)], pa.binary())], names=["bucket", "n", "v"])
+
+    found = stored(rows.mapInArrow(deal, "bucket int, v binary").groupBy("bucket").applyInArrow(meet, "bucket int, n long, v binary"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    digits = min(MOST, max(LEAST, 1 << (16 * max(total, 1) - 1).bit_length())).bit_length() - 1
+
+    def segment(batches):
+        for batch in batches:
+            out = []
+            for blob in batch.column(1).to_pylist():
+                bits = np.zeros(1 << (digits - power), np.uint8)
+                bits[(_unpacked(blob) >> np.uint64(40 - (digits - power))).astype(np.int64)] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["bucket", "bits"])
+
+    out = np.zeros((1 << digits) // 8, np.uint8)
+    each = len(out) >> power
+    for r in found.select("bucket", "v").mapInArrow(segment, "bucket int, bits binary").toLocalIterator():
+        out[r["bucket"] * each : (r["bucket"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(out)
+
+
+def holds_top(bitmap_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap of ``repeated``."""
+    digits = (len(bitmap_bytes) * 8).bit_length() - 1
+    at = hashes >> np.uint64(64 - digits)
+    return (bitmap_bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0

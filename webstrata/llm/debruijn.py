@@ -7,12 +7,12 @@ and an anchor's context is the path of all edges that can pass through it.
 1. Anchors are counted over the corpus; those seen once carry no repeated edge (a bitmap of the others spares the rest).
 2. Where a repeated anchor has one context everywhere, the path through it does not branch: its edges compact into one
    record, joined back to its occurrences with the smallest doc_id that holds the path.
-3. Where contexts differ, the graph branches, and the edges of each context's first document stand alone: each meets
-   the smallest doc_id of its equals.
+3. Where contexts differ, the graph branches, and the edges of each context's first document stand alone: those seen
+   again (a bitmap, as in 1) meet the smallest doc_id of their equals.
 4. The source coordinates of repeated edges, in words, are joined to the texts; overlapping stretches merge into the
    maximal spans, and the remaining words are hashed.
 
-Edges are told apart by 128 bits (anchor and context) or, in step 3, by two 64-bit hashes.
+Edges are told apart by 128 bits (anchor and context) or, in step 3, by 64.
 
 Scale: rows of hashes and coordinates are all that is shuffled before the texts' one join. A path in a third of all
 documents is pre-aggregated to a row per task, and its join back is an ordinary join that adaptive execution splits.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits, kernels
-from webstrata.session import materialise, stored
+from webstrata.session import stored
 
 WINDOW = 13
 ANCHOR = 6
@@ -61,60 +61,76 @@ def anchors(data: bytes, window: int, k: int) -> tuple[kernels.Rolling | None, n
     return roll, at, hashes[at], context, n
 
 
-def count_anchors(window: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [anchors(t, window, k)[2] for t in texts(batch, 0)]
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-            yield pa.record_batch([pa.array(signed(h)), pa.array(n.astype(np.int32))], names=["h", "n"])
+def anchor_hashes(window: int, k: int):
+    return lambda batch: np.concatenate([np.empty(0, np.uint64), *(anchors(t, window, k)[2] for t in texts(batch, 0))])
 
-    return run
+
+def packed(th: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Text hash (32 bits), first word (27) and number of words (5) in one number, to keep rows narrow."""
+    return (th.astype(np.int64) << 32) | (a << 5) | (b - a)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.shiftright("spot", 32).cast("int").alias("th"), F.shiftright(F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)), 5).cast("int").alias("a"), F.col("spot").bitwiseAND(F.lit(31)).cast("int").alias("n")).select("doc_id", "th", "a", (F.col("a") + F.col("n")).alias("b"))
 
 
 def occurrences(window: int, k: int, wanted):
-    """Anchors in the bitmap with their context's hash and stretch of words [a, b)."""
+    """Anchors in the bitmap: (doc_id, anchor, context, where)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = wanted.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            th = batch.column(1).to_numpy()
+            rows: list[list] = [[], [], [], []]
             for i, t in enumerate(texts(batch, 2)):
                 _, at, h, c, n = anchors(t, window, k)
-                keep = bits.holds(words, h) if len(at) else np.empty(0, bool)
+                keep = bits.holds_top(wanted.value, h) if len(at) else np.empty(0, bool)
                 if keep.any():
                     at = at[keep]
-                    for column, values in zip(rows, (np.full(len(at), i), signed(h[keep]), signed(c[keep]), np.maximum(at - (window - k), 0), np.minimum(at + window, n)), strict=True):
+                    spot = packed(th[i : i + 1], np.maximum(at - (window - k), 0), np.minimum(at + window, n))
+                    for column, values in zip(rows, (np.full(len(at), i), signed(h[keep]), signed(c[keep]), spot), strict=True):
                         column.append(values)
-            i, h, c, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(h), pa.array(c), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "th", "h", "c", "a", "b"])
+            i, h, c, spot = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield pa.record_batch([batch.column(0).take(pa.array(i)), pa.array(h), pa.array(c), pa.array(spot)], names=["doc_id", "h", "c", "spot"])
 
     return run
 
 
-def branching_edges(window: int, k: int, wanted):
-    """Edges of branching contexts in their first document (by a bitmap of anchor, context and doc_id)."""
+def head_edges(t: bytes, doc_id: int, window: int, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the edges of a document's branching contexts that it is the first to have."""
+    roll, at, h, c, n = anchors(t, window, k)
+    keep = bits.holds(words, h ^ c ^ np.uint64(doc_id % 2**64)) if len(at) else np.empty(0, bool)
+    if not keep.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = at[keep]
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(at - (window - k), 0), 1)
+    np.add.at(edge, np.minimum(at, n - window) + 1, -1)
+    at = np.flatnonzero(np.cumsum(edge) > 0)
+    return kernels.mix(roll.runs(at, at + window)), at
+
+
+def edge_hashes(window: int, k: int, heads):
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column(0).to_pylist()
+        return np.concatenate([np.empty(0, np.uint64), *(head_edges(t, i, window, k, heads.value)[0] for i, t in zip(ids, texts(batch, 2), strict=True))])
+
+    return hashes
+
+
+def branching_edges(window: int, k: int, heads, again):
+    """Edges of branching contexts that may occur elsewhere, in the context's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = wanted.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows: list[list] = [[], [], [], []]
+            ids, th = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            rows: list[list] = [[], [], []]
             for i, t in enumerate(texts(batch, 2)):
-                roll, at, h, c, n = anchors(t, window, k)
-                keep = bits.holds(words, h ^ c ^ np.uint64(int(ids[i]) % 2**64)) if len(at) else np.empty(0, bool)
-                if not keep.any():
-                    continue
-                at = at[keep]
-                first, last = np.maximum(at - (window - k), 0), np.minimum(at, n - window)
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last + 1, -1)
-                at = np.flatnonzero(np.cumsum(edge) > 0)
-                e = roll.runs(at, at + window)
-                for column, values in zip(rows, (np.full(len(at), i), signed(kernels.mix(e)), signed(kernels.mix(e ^ kernels.mix(roll.runs(at, at + window // 2)))), at), strict=True):
+                e, at = head_edges(t, ids[i], window, k, heads.value)
+                keep = bits.holds_top(again.value, e)
+                for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(e[keep]), packed(th[i : i + 1], at[keep], at[keep] + window)), strict=True):
                     column.append(values)
-            i, e1, e2, a = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(e1), pa.array(e2), pa.array(a.astype(np.int32))], names=["doc_id", "th", "e1", "e2", "a"])
+            i, e, spot = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield pa.record_batch([batch.column(0).take(pa.array(i)), pa.array(e), pa.array(spot)], names=["doc_id", "e", "spot"])
 
     return run
 
@@ -122,21 +138,20 @@ def branching_edges(window: int, k: int, wanted):
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """(doc_id, th, a, b): stretches of words covered by edges that a document with a smaller doc_id has too."""
     keyed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
-    counted = keyed.select("text").mapInArrow(count_anchors(window, k), "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
-    again = stored(counted.filter("n > 1").select("h"))
-    found = stored(keyed.mapInArrow(occurrences(window, k, bits.bitmap(again, F.col("h"), again.count())), "doc_id long, th int, h long, c long, a int, b int"))
-    paths = found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    paths = stored(paths)
+    again = bits.repeated(keyed.select("text"), anchor_hashes(window, k))
+    found = stored(keyed.mapInArrow(occurrences(window, k, again), "doc_id long, h long, c long, spot long"))
+    paths = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     # Compacted paths: everything after the first document goes, with all edges of the context.
     shared = paths.filter("first < last").select("h", "c", "first")
-    whole = found.join(shared, ["h", "c"]).filter("doc_id > first").select("doc_id", "th", "a", "b")
+    whole = spread(found.join(shared, ["h", "c"]).filter("doc_id > first"))
 
     forks = paths.groupBy("h").agg((F.min("c") != F.max("c")).alias("forks"), F.min("first").alias("lo"), F.max("last").alias("hi")).filter("forks AND lo < hi").select("h")
-    heads = stored(paths.join(forks, "h").select("h", "c", "first"))
-    wanted = bits.bitmap(heads, F.col("h").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first")), heads.count())
-    edges = stored(keyed.mapInArrow(branching_edges(window, k, wanted), "doc_id long, th int, e1 long, e2 long, a int"))
-    met = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("e1", "e2", "first")
-    apart = edges.join(met, ["e1", "e2"]).filter("doc_id > first").select("doc_id", "th", "a", (F.col("a") + window).cast("int").alias("b"))
+    first = stored(paths.join(forks, "h").select("h", "c", "first"))
+    heads = bits.bitmap(first, F.col("h").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first")), first.count())
+    again = bits.repeated(keyed, edge_hashes(window, k, heads))
+    edges = stored(keyed.mapInArrow(branching_edges(window, k, heads, again), "doc_id long, e long, spot long"))
+    met = edges.groupBy("e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("e", "first")
+    apart = spread(edges.join(met, "e").filter("doc_id > first"))
     return whole.unionByName(apart)
 
 
@@ -155,12 +170,32 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def among(ids, inside: bool):
+    """The documents whose id is in the bitmap, or those whose id isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0)
+            held = bits.holds(ids.value, doc.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & doc.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held == inside))
+
+    return run
+
+
+def met_with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text and spans of every document; only texts that may have spans are shuffled to meet them."""
+    spans = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    ids = bits.bitmap(spans, F.coalesce("doc_id", F.lit(0).cast("long")), spans.count())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
+    may = keyed.mapInArrow(among(ids, True), "doc_id long, text string, th int")
+    rest = keyed.mapInArrow(among(ids, False), "doc_id long, text string, th int")
+    met = may.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    return met.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<struct<a: int, b: int>>").alias("spans")))
+
+
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    spans = repeats(docs, window, k).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
-    met = keyed.join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h")), "left")
-    return met.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return met_with_spans(docs, repeats(docs, window, k)).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6(docs: DataFrame) -> DataFrame:
