@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import access, content, dashboard, findings, graph  # noqa: F401  (they enter their queries)
+from webstrata.plans import access, content, crawl, dashboard, findings, graph, rating  # noqa: F401  (they enter their queries)
 from webstrata.plans.catalog import CATALOG
 
 FLAGSHIP = "consistency_report"

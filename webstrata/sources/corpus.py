@@ -40,7 +40,7 @@ def pages(spark: SparkSession, sf_dir: str, by_host: bool = False) -> DataFrame:
 
 
 def quoted(value) -> str:
-    return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    return "NULL" if value is None else str(value).lower() if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
 def values(rows: list[tuple]) -> str:
