@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits, kernels
-from webstrata.session import stored
+from webstrata.session import small_batches, stored
 
 WINDOW = 13
 ANCHOR = 6
@@ -170,32 +170,40 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def among(ids, inside: bool):
-    """The documents whose id is in the bitmap, or those whose id isn't."""
+def among(ids, batch: pa.RecordBatch) -> np.ndarray:
+    """Which documents' ids are in the bitmap; null ids are not."""
+    doc = batch.column(0)
+    return bits.holds(ids.value, doc.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & doc.is_valid().to_numpy(zero_copy_only=False)
 
+
+def touched(ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0)
-            held = bits.holds(ids.value, doc.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & doc.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(held == inside))
+            yield batch.filter(pa.array(among(ids, batch)))
 
     return run
 
 
-def met_with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text and spans of every document; only texts that may have spans are shuffled to meet them."""
-    spans = stored(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    ids = bits.bitmap(spans, F.coalesce("doc_id", F.lit(0).cast("long")), spans.count())
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
-    may = keyed.mapInArrow(among(ids, True), "doc_id long, text string, th int")
-    rest = keyed.mapInArrow(among(ids, False), "doc_id long, text string, th int")
-    met = may.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return met.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<struct<a: int, b: int>>").alias("spans")))
+def untouched_digests(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~among(ids, batch)))
+            yield from digest([pa.record_batch([rest.column(0), rest.column(1), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
+
+    return run
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return met_with_spans(docs, repeats(docs, window, k)).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """doc_id, n_words, n_removed, kept_sha256 of every document; only texts that may have spans are shuffled to meet them."""
+    small_batches(docs.sparkSession)
+    spans = stored(repeats(docs, window, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    ids = bits.bitmap(spans, F.col("doc_id"), spans.count())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
+    met = keyed.mapInArrow(touched(ids), "doc_id long, text string, th int").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    return met.mapInArrow(digest, RESULT).unionByName(keyed.select("doc_id", "text").mapInArrow(untouched_digests(ids), RESULT))
 
 
 def op6(docs: DataFrame) -> DataFrame:
