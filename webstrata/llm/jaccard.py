@@ -9,8 +9,8 @@ replication at the boundaries. The most frequent shingles come last in the order
 Within regions the join goes on with documents as pivots:
 
 1. Equal sets are one class, joined by their hash; only one of each class goes on.
-2. Star pass (Spark joins): the region's smallest document is its pivot, and every member's distance to it is computed.
-   Members within EPS link to it, and so lie in one component; regions that are all one component are finished.
+2. Star pass (Spark joins): the region's smallest document is its pivot, and every member's distance to it is bounded by
+   a sketch of parities and, where it may be small enough and the two aren't in one component yet, computed. Members within EPS link to it, and so lie in one component; regions that are all one component are finished.
 3. In regions left over, the recursion takes place in the task: a pivot p splits the members into its ball
    (d(x,p) <= EPS) and the rest; only pairs inside the window |d(x,p) - d(y,p)| <= EPS can link, and only those of
    different components need comparing. The rest, with its own next pivot, goes on in the same way.
@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits, kernels
-from webstrata.session import materialise, stored
+from webstrata.session import materialise, small_batches, stored
 
 SIZE = 4
 PERCENT = 85
 MOST = 3_000
+#: Bits of a set's parity sketch: 256 bytes stand for a set until it may link.
+PARITIES = 2048
 #: Shingles ranked by frequency at most (so 2 MB are broadcast at most); all others come before them in the order.
 RANKED = 1 << 17
 
@@ -167,6 +169,42 @@ def sets_of(size: int, wanted):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of ``PARITIES`` bits."""
+    return np.packbits((np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_of(size: int, wanted):
+    """(document, size of its set, sketch) of the documents in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            take = bits.holds(wanted.value, ids.view(np.uint64))
+            held = [shingles(t, size) for t, ok in zip(texts(batch, 1), take.tolist(), strict=True) if ok]
+            yield pa.record_batch([pa.array(ids[take]), pa.array([len(s) for s in held], pa.int64()), pa.array([sketch(s) for s in held], pa.binary())], names=["cid", "n", "sketch"])
+
+    return run
+
+
+def plausible(percent: int):
+    """Pairs with sizes and sketches -> those whose sets may be near enough.
+
+    Every shingle of one set alone flips one parity, so the number of parities that differ is at most the number of such
+    shingles: what is left out can't link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITIES // 8) for c in (4, 5))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            need = -(-percent * n // (100 + percent))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(apart <= n - 2 * need))
+
+    return run
+
+
 def verified(percent: int):
     """Pairs with both sets -> the pairs that link."""
 
@@ -252,6 +290,7 @@ def frequent_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
 
 def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every document."""
+    small_batches(docs.sparkSession)
     nothing = F.lit(2**63 - 1).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), nothing).alias("doc_id"), "text")
     broadcast = docs.sparkSession.sparkContext.broadcast
@@ -279,18 +318,33 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         held = keyed.mapInArrow(sets_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, set binary")
         return held.join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set"))
 
-    def star(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
+    def exact(pairs: DataFrame) -> DataFrame:
         held = stored(sets(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid")))))
         a = held.select(F.col("cid").alias("x"), F.col("set").alias("set_x"))
         b = held.select(F.col("cid").alias("y"), F.col("set").alias("set_y"))
-        length = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-        # Far sizes can't link; the cheap test comes before the sets travel.
-        near = pairs.join(length.select(F.col("doc_id").alias("x"), F.col("n").alias("n_x")), "x").join(length.select(F.col("doc_id").alias("y"), F.col("n").alias("n_y")), "y")
-        near = near.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent).select("x", "y")
-        return near.join(a, "x").join(b, "y").select("x", "y", "set_x", "set_y").mapInArrow(verified(percent), "x long, y long")
+        return pairs.join(a, "x").join(b, "y").select("x", "y", "set_x", "set_y").mapInArrow(verified(percent), "x long, y long")
 
-    links = stored(star(touching.filter("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct()))
+    def star(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Links among the pairs (and the known ones): sketches first, then one pivot a member, then only pairs still apart."""
+        pairs = stored(pairs)
+        ids = stored(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))).distinct())
+        held = keyed.mapInArrow(sketches_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, n long, sketch binary").join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        held = stored(held)
+        near = pairs
+        for side in ("x", "y"):
+            near = near.join(held.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        near = near.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+        near = stored(near.select("x", "y", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(plausible(percent), "x long, y long"))
+        first = stored(near.groupBy("x").agg(F.min("y").alias("y")).select("x", "y"))
+        found = stored(exact(first) if known is None else exact(first).unionByName(known))
+        at = components(found)
+        rest = near.join(first, ["x", "y"], "left_anti")
+        for side in ("x", "y"):
+            rest = rest.join(at.select(F.col("cid").alias(side), F.col("comp").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+        rest = stored(rest.filter("c_x <> c_y").select("x", "y"))
+        return stored(found.unionByName(exact(rest)))
+
+    links = star(touching.filter("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct(), None)
     labels = components(links)
     # A pivot has met all members of its region and leaves it.
     left = touching.filter("cid <> pivot").select("s", "cid")
@@ -303,7 +357,7 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
             break
         pivots = stored(large.groupBy("s").agg(F.min(F.struct("cid", "comp")).alias("p")).select("s", F.col("p.cid").alias("y"), F.col("p.comp").alias("its")))
         pairs = large.join(pivots, "s").filter("comp <> its").select(F.col("cid").alias("x"), "y").distinct()
-        links = stored(links.unionByName(star(pairs)))
+        links = star(pairs, links)
         labels = components(links)
         left = left.select("s", "cid").join(pivots.select("s", F.col("y").alias("cid")), ["s", "cid"], "left_anti")
 
