@@ -52,16 +52,50 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Places in the low bits of a window's code; texts of more words go the slow way.
+PLACE_BITS = 20
+
+
+def covered_words(places: Column) -> Column:
+    """Words under 3-word windows at the given ascending places."""
+    start = F.struct(F.lit(-3).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(places, start, lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["at"])).alias("n")), lambda a: a["n"])
+
+
+def repeat_words_by_string(words: Column) -> Column:
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.array_join(F.slice(words, i + 1, 3), " ").alias("k"), i.cast("long").alias("i")))
+
+    def places(s: Column) -> Column:
+        near = lambda x, i: F.coalesce(x["k"] == F.get(s, i - 1)["k"], F.lit(False)) | F.coalesce(x["k"] == F.get(s, i + 1)["k"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, near), lambda x: x["i"]))
+
+    return covered_words(let(F.array_sort(windows), places))
+
+
 def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; windows are compared as strings, so exactly."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.struct(F.array_join(F.slice(words, i, 3), " ").alias("k"), i.alias("i")))
+    """Words inside 3-word windows that occur twice or more.
+
+    Windows are sorted as codes of (hash, place), and neighbours with one hash are compared word by word. A text in
+    which two different windows share a hash, or of more words than a code has places, is sorted by the windows themselves.
+    """
+    one = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    codes = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.shiftleft(one(i), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    tag = lambda x: F.shiftright(x, PLACE_BITS)
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+    def fast(c: Column) -> Column:
+        same = lambda x, other: F.coalesce(tag(x) == tag(other), F.lit(False))
+        window = lambda x: F.slice(words, place(x).cast("int") + 1, 3)
+        twins = F.filter(c, lambda x, i: same(x, F.get(c, i - 1)) | same(x, F.get(c, i + 1)))
+
+        def settled(t: Column) -> Column:
+            clash = F.exists(F.transform(t, lambda x, i: F.struct(x.alias("x"), F.get(t, i + 1).alias("y"))), lambda p: same(p["x"], p["y"]) & (window(p["x"]) != window(p["y"])))
+            return F.when(clash, repeat_words_by_string(words)).otherwise(covered_words(F.sort_array(F.transform(t, place))))
 
-    def positions(s: Column) -> Column:
-        return F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(x["k"] == F.get(s, i - 1)["k"], F.lit(False)) | F.coalesce(x["k"] == F.get(s, i + 1)["k"], F.lit(False))), lambda x: x["i"]))
+        return let(twins, settled)
 
-    start = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
-    covered = F.aggregate(let(F.array_sort(windows), positions), start, lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(F.lit(3), x - a["at"])).alias("n")), lambda a: a["n"])
-    return F.when(F.size(words) >= 3, covered).otherwise(F.lit(0))
+    few = F.size(words) < (1 << PLACE_BITS)
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).when(few, let(codes, fast)).otherwise(repeat_words_by_string(words))
 
 
 def measures(text: Column) -> Column:
@@ -107,7 +141,8 @@ def passes(rule: Rule) -> Column:
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``keep`` columns, the measures, ``base_failed``, ``kept`` and the names of the rules that failed."""
-    out = docs.select(*keep, measures(F.col(text)).alias("_m"))
+    # A generator evaluates the measures once, whatever later projections and filters ask of them.
+    out = docs.select(*keep, F.explode(F.array(measures(F.col(text)))).alias("_m"))
     names = ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "w.n_alpha_words", "l.n_lines", "l.n_ellipsis_lines", "l.n_bullet_lines")
     out = out.select(*keep, *(F.col(f"_m.{n}").alias(n.split(".")[-1]) for n in names))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
