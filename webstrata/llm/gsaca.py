@@ -10,6 +10,8 @@ and its chain of prev pointers at the front of their groups. Nothing is renamed
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """Order of all suffixes of ``text``, whose last symbol must be smaller than every other."""
@@ -96,3 +98,126 @@ def suffix_array(text: list[int]) -> list[int]:
             placed[i] = 1
             i = prev[i]
     return out
+
+
+#: Longer texts are sorted one by one; side by side they would leave most lanes idle.
+ALONE = 8_000
+
+
+def suffix_arrays(texts: list[np.ndarray]) -> np.ndarray:
+    """Suffix arrays of many texts (each ending in its own smallest symbol), one after another, as places in their concatenation.
+
+    All texts are sorted side by side by the steps of ``suffix_array``: each step takes the largest group left in every
+    text, so array operations stand for one step of all of them.
+    """
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    out = np.empty(int(starts[-1]), np.int64)
+    short = [i for i, t in enumerate(texts) if len(t) <= ALONE]
+    short.sort(key=lambda i: len(texts[i]))
+    for i, t in enumerate(texts):
+        if len(t) > ALONE:
+            out[starts[i] : starts[i + 1]] = np.array(suffix_array(t.tolist())) + starts[i]
+    if short:
+        made = _side_by_side([texts[i] for i in short])
+        at = 0
+        for i in short:
+            n = len(texts[i])
+            out[starts[i] : starts[i + 1]] = made[at : at + n] - at + starts[i]
+            at += n
+    return out
+
+
+def _side_by_side(texts: list[np.ndarray]) -> np.ndarray:
+    sizes = np.array([len(t) for t in texts])
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    text = np.concatenate(texts).astype(np.int64)
+    total = len(text)
+    lane = np.repeat(np.arange(len(texts)), sizes)
+    order = np.lexsort((text, lane))
+    place = np.empty(total, np.int64)
+    place[order] = np.arange(total)
+    new = np.concatenate([[True], (text[order][1:] != text[order][:-1]) | (lane[order][1:] != lane[order][:-1])])
+    heads = np.flatnonzero(new)
+    size = np.zeros(total + 1, np.int64)
+    size[heads] = np.diff(np.append(heads, total))
+    group = np.empty(total, np.int64)
+    group[order] = np.repeat(heads, size[heads])
+    prev = np.full(total, -1, np.int64)
+    chosen = np.zeros(total, bool)
+
+    live, end = np.arange(len(texts)), base + sizes
+    while len(live):
+        top, floor = end[live], base[live]
+        low = group[order[top - 1]]
+        many = top - low
+        # Members of the groups in hand, and the nearest smaller one before each.
+        row = np.repeat(np.arange(len(live)), many)
+        i = order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]]
+        least, limit = floor[row], low[row]
+        p = i - 1
+        open_ = np.flatnonzero(p >= least)
+        while len(open_):
+            q = p[open_]
+            g, bound = group[q], limit[open_]
+            open_, q, g, bound = (x[g >= bound] for x in (open_, q, g, bound))
+            p[open_] = np.where(g > bound, prev[q], q - 1)
+            open_ = open_[p[open_] >= least[open_]]
+        prev[i] = p
+        end[live] = low
+        live = live[low > floor]
+        p = np.sort(p[p >= least])
+        if not len(p):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        u, times = p[first], np.diff(np.append(first, len(p)))
+        g = group[u]
+        by = np.lexsort((times, g))
+        u, times, g = u[by], times[by], g[by]
+        # Within each group the chosen go to its end, those pointed at most often last.
+        cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        k = np.diff(np.append(cut, len(g)))
+        owner = g[cut]
+        had = size[owner]
+        tail = np.repeat(owner + had - k, k)
+        to = tail + np.arange(len(g)) - np.repeat(cut, k)
+        chosen[u] = True
+        at = place[u]
+        left = order[to]
+        left = left[~chosen[left]]
+        holes = at[at < tail]
+        order[holes] = left
+        place[left] = holes
+        order[to] = u
+        place[u] = to
+        chosen[u] = False
+        part = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (times[1:] != times[:-1])]))
+        fresh, count = to[part], np.diff(np.append(part, len(g)))
+        size[owner] = had - k
+        size[fresh] = count
+        group[u] = np.repeat(fresh, count)
+
+    out = np.empty(total, np.int64)
+    front = np.arange(total + 1)
+    placed = np.zeros(total, bool)
+    out[base] = base + sizes - 1
+    placed[base + sizes - 1] = True
+    # Texts stand in ascending length: those still running are a suffix of the list.
+    done = 0
+    for step in range(int(sizes[-1])):
+        while sizes[done] <= step:
+            done += 1
+        floor = base[done:]
+        i = out[floor + step] - 1
+        keep = i >= floor
+        i, floor = i[keep], floor[keep]
+        while len(i):
+            keep = ~placed[i]
+            i, floor = i[keep], floor[keep]
+            g = group[i]
+            out[front[g]] = i
+            front[g] += 1
+            placed[i] = True
+            i = prev[i]
+            keep = i >= floor
+            i, floor = i[keep], floor[keep]
+    return out

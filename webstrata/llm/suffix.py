@@ -7,8 +7,8 @@ comparing around equal anchors, in the context that the strings choosing the anc
 1. All documents: hashes of anchors, counted; those seen once are done with (a bitmap of the rest spares the shuffle).
 2. Repeated anchors with a hash of their context, counted again. A context seen twice is repeated as a whole.
 3. Contexts seen once, whose anchor occurs in other contexts: their bytes, with one copy of each partner, are grouped by
-   anchor, and the suffix array of each bucket (linear grouping, ``gsaca``) brings equal strings together; neighbours
-   are compared byte by byte.
+   anchor, and the suffix array of each anchor's contexts (linear grouping, ``gsaca``, many side by side) brings equal
+   strings together; neighbours are compared byte by byte.
 4. Covered stretches are joined to their texts, and what is left is hashed.
 
 Scale: what is shuffled is hashes, repeated anchors, ambiguous contexts and, once, the texts for the last join. An
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits, kernels
-from webstrata.llm.gsaca import suffix_array
-from webstrata.session import materialise
+from webstrata.llm.gsaca import suffix_arrays
+from webstrata.session import small_batches, stored
 
 LENGTH = 200
 ANCHOR = 32
 MOST_CONTEXTS = 5_000
-#: Contexts per suffix array, about.
-BUCKET = 800
+#: Contexts per bucket, about; some 0.8 MB of text.
+BUCKET = 3_000
 
 
 def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,16 +61,8 @@ def texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def count_anchors(length: int, k: int):
-    """Pass 1: (hash, how often), counted per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [anchors(t, length, k)[0] for t in texts(batch, 0)]
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-            yield pa.record_batch([pa.array(signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    return run
+def anchor_hashes(length: int, k: int):
+    return lambda batch: np.concatenate([np.empty(0, np.uint64), *(anchors(t, length, k)[0] for t in texts(batch, 0))])
 
 
 def occurrences(length: int, k: int, wanted, with_bytes: bool):
@@ -83,7 +75,7 @@ def occurrences(length: int, k: int, wanted, with_bytes: bool):
             blobs: list[bytes] = []
             for i, t in enumerate(texts(batch, 2)):
                 h, c, start, end = anchors(t, length, k)
-                keep = bits.holds(words, h ^ c if with_bytes else h) if len(h) else np.empty(0, bool)
+                keep = (bits.holds(words, h ^ c) if with_bytes else bits.holds_top(words, h)) if len(h) else np.empty(0, bool)
                 if not keep.any():
                     continue
                 h, c, start, end = h[keep], c[keep], start[keep], end[keep]
@@ -104,16 +96,21 @@ WHERE = "doc_id long, th int, h long, c long, a int, b int"
 
 
 def repeated_in_bucket(length: int):
-    """Suffix array over a bucket's contexts; stretches of contexts seen once that some other place repeats."""
+    """Suffix arrays of a bucket's anchors; stretches of contexts seen once that some other place repeats."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
         blobs = table.column("bytes").to_pylist()
         sizes = np.array([len(b) for b in blobs])
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
         data = np.frombuffer(b"\0".join(blobs) + b"\0", np.uint8)
         text = data.astype(np.int64) + 2
         text[begin + sizes] = 1
-        order = np.array(suffix_array([*text.tolist(), 0]), np.int64)[1:]
+        # One text per anchor: its contexts, parted by a symbol below all bytes; the last one ends it.
+        h = table.column("h").to_numpy()
+        last = np.flatnonzero(np.append(h[1:] != h[:-1], True))
+        text[(begin + sizes)[last]] = 0
+        order = suffix_arrays(np.split(text, (begin + sizes)[last][:-1] + 1))
         owner = np.repeat(np.arange(len(blobs)), sizes + 1)
         offset = np.arange(len(data)) - begin[owner]
         order = order[offset[order] + length <= sizes[owner[order]]]
@@ -177,15 +174,15 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, th, a, b): byte stretches that occur elsewhere too, possibly overlapping; th is a hash of the text."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
-    counted = docs.select("text").mapInArrow(count_anchors(length, k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    again = materialise(counted.filter("n > 1").select("h"))
-    found = materialise(keyed.mapInArrow(occurrences(length, k, bits.bitmap(again, F.col("h"), again.count()), False), WHERE))
+    again = bits.repeated(docs.select("text"), anchor_hashes(length, k))
+    found = stored(keyed.mapInArrow(occurrences(length, k, again, False), WHERE))
     contexts = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
     anchored = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places"), F.min("n").alias("least"))
     anchored = anchored.filter("places > 1")
     # One row per context; whole: seen twice or more. Others have partners to be told apart from.
-    known = materialise(contexts.join(anchored, "h").select("h", "c", "n", "kinds", "least"))
+    known = stored(contexts.join(anchored, "h").select("h", "c", "n", "kinds", "least"))
     whole = found.join(known.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "th", "a", "b")
 
     unclear = known.filter("kinds > 1 AND least = 1").select("h", "c", "n", "kinds")
@@ -193,11 +190,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     wanted = bits.bitmap(unclear, F.col("h").bitwiseXOR(F.col("c")), n_unclear)
     held = keyed.mapInArrow(occurrences(length, k, wanted, True), WHERE + ", bytes binary").join(unclear, ["h", "c"])
     # Contexts seen twice need one copy as a partner: the smallest place, so that any rerun picks the same.
-    held = materialise(held)
+    held = stored(held)
     first = held.filter("n > 1").groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "a", "b", "bytes", "n", "kinds")).alias("x")).select("h", "c", "x.*")
     held = held.filter("n = 1").select("h", "c", "doc_id", "th", "a", "b", "bytes", "n", "kinds").unionByName(first)
     buckets = max(1, -(-n_unclear // BUCKET))
-    small = held.filter(F.col("kinds") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).select("bucket", "doc_id", "th", "a", "n", "bytes")
+    small = held.filter(F.col("kinds") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).select("bucket", "h", "doc_id", "th", "a", "n", "bytes")
     told = small.groupBy("bucket").applyInArrow(repeated_in_bucket(length), "doc_id long, th int, a int, b int")
 
     crowded = held.filter(F.col("kinds") > MOST_CONTEXTS).select("doc_id", "th", "a", "n", "bytes").mapInArrow(windows_of(length), "w1 long, w2 long, doc_id long, th int, n long, at int")
@@ -207,12 +204,38 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     return whole.unionByName(told).unionByName(rest)
 
 
+def among(ids, batch: pa.RecordBatch) -> np.ndarray:
+    return bits.holds(ids.value, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def touched(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(ids, batch)))
+
+    return run
+
+
+def untouched_digests(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~among(ids, batch)))
+            yield from digest([pa.record_batch([rest.column(0), rest.column(1), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
+
+    return run
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    spans = repeats(docs, length, k).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; only texts that may have spans are shuffled to meet them."""
+    spans = stored(repeats(docs, length, k).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    ids = bits.bitmap(spans, F.coalesce("_d", F.lit(0).cast("long")), spans.count())
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
-    met = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left")
-    return met.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    may = keyed.mapInArrow(touched(ids), "doc_id long, text string, th int")
+    met = may.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "spans")
+    return met.mapInArrow(digest, RESULT).unionByName(keyed.select("doc_id", "text").mapInArrow(untouched_digests(ids), RESULT))
 
 
 def op2(docs: DataFrame) -> DataFrame:
