@@ -11,7 +11,8 @@ Within regions the join goes on with documents as pivots:
 1. Equal sets are one class, joined by their hash; only one of each class goes on.
 2. Star pass (Spark joins): the region's smallest document is its pivot, and every member's distance to it is bounded by
    a sketch of parities and, where it may be small enough and the two aren't in one component yet, computed. Members within EPS link to it, and so lie in one component; regions that are all one component are finished.
-3. In regions left over, the recursion takes place in the task: a pivot p splits the members into its ball
+3. In regions left over, members that the sketches keep apart from all other components are left out, and the
+   recursion takes place in the task: a pivot p splits the members into its ball
    (d(x,p) <= EPS) and the rest; only pairs inside the window |d(x,p) - d(y,p)| <= EPS can link, and only those of
    different components need comparing. The rest, with its own next pivot, goes on in the same way.
    Regions of more than ``MOST`` members are not collected: they go through further star passes, each with a new pivot
@@ -217,6 +218,24 @@ def verified(percent: int):
     return run
 
 
+def may_link(percent: int):
+    """The members of a region whose sketch doesn't rule out a link to a member of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), PARITIES // 64)
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
+            both = n[j] + n[i]
+            near = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+            keep[j[near]] = True
+            keep[i] |= bool(near.any())
+        return table.select(["s", "cid", "comp"]).filter(pa.array(keep))
+
+    return run
+
+
 def within_region(percent: int):
     """The recursion inside a region: pivots, balls and windows over members whose components still differ."""
     eps = 1 - percent / 100 + 1e-9
@@ -318,6 +337,11 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         held = keyed.mapInArrow(sets_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, set binary")
         return held.join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set"))
 
+    def sketches(ids: DataFrame) -> DataFrame:
+        ids = stored(ids.distinct())
+        held = keyed.mapInArrow(sketches_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, n long, sketch binary")
+        return stored(held.join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
     def exact(pairs: DataFrame) -> DataFrame:
         held = stored(sets(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid")))))
         a = held.select(F.col("cid").alias("x"), F.col("set").alias("set_x"))
@@ -327,9 +351,7 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     def star(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """Links among the pairs (and the known ones): sketches first, then one pivot a member, then only pairs still apart."""
         pairs = stored(pairs)
-        ids = stored(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))).distinct())
-        held = keyed.mapInArrow(sketches_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, n long, sketch binary").join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        held = stored(held)
+        held = sketches(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))))
         near = pairs
         for side in ("x", "y"):
             near = near.join(held.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
@@ -361,7 +383,10 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         labels = components(links)
         left = left.select("s", "cid").join(pivots.select("s", F.col("y").alias("cid")), ["s", "cid"], "left_anti")
 
-    inner = left.select("s", "cid", "comp").join(sets(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(percent), "x long, y long")
+    # Sketches tell which members of the regions left have anything to compare; only their sets travel.
+    left = left.select("s", "cid", "comp").join(sketches(left.select("cid")), "cid").groupBy("s").applyInArrow(may_link(percent), "s long, cid long, comp long")
+    left = stored(left)
+    inner = left.join(sets(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(percent), "x long, y long")
     inner = stored(inner)
     if inner.limit(1).count():
         labels = components(links.unionByName(inner))
