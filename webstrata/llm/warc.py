@@ -22,7 +22,7 @@ DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
-HIDDEN = r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|head\b.*?</head\s*>|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
 BLOCK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|hr|dl|dt|dd|figure|figcaption|form|option|title|body|html)\b[^>]*>"
 TAG = r"<[a-zA-Z/!?][^>]*>"
 NUMERIC = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
@@ -31,6 +31,12 @@ LANG = r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z-]+)"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"']"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, behind a generator; a plain projection would be copied into every use."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    return df.select("*", made).select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"_once.{n}").alias(n) for n in columns))
+
+
 def base32_of_hex(digest: Column) -> Column:
     """Base32 of 40 hex digits, five digits (four letters) at a time."""
     group = lambda i: F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
@@ -51,15 +57,19 @@ def code_point(entity: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
 
 
-def plain_text(html: Column) -> Column:
-    t = F.regexp_replace(html, HIDDEN, " ")
-    t = F.regexp_replace(t, BLOCK, "\n")
-    t = F.regexp_replace(t, TAG, "")
+def bare_text(html: Column) -> Column:
+    """Markup and hidden parts out, block ends as line ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK, "\n"), TAG, "")
+
+
+def tidy_text(t: Column) -> Column:
+    """Entities decoded, white space collapsed."""
     numeric = F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC), 0)), t, lambda acc, e: F.replace(acc, e, code_point(e)))
     t = F.when(t.contains("&#"), numeric).otherwise(t)
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B\x{00a0}]+", " ")
+    # A single space, the usual case, is left as it is.
+    t = F.regexp_replace(t, r"[ \t\r\f\x0B\x{00a0}]{2,}|[\t\r\f\x0B\x{00a0}]", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 
@@ -69,7 +79,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     out = pages.select("page_id", F.coalesce("url", F.lit("")).alias("target_uri"), html.alias("payload"), headers.alias("http_headers"))
-    out = out.withColumn("payload_digest", F.concat(F.lit("sha1:"), base32_of_hex(F.sha1(F.col("payload").cast("binary")))))
+    out = once(out, _hex=F.sha1(F.col("payload").cast("binary")))
+    out = once(out, payload_digest=F.concat(F.lit("sha1:"), base32_of_hex(F.col("_hex")))).drop("_hex")
     return out.withColumn("record_id", record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), "target_uri", "payload_digest")).withColumn("date", F.lit(date))
 
 
@@ -92,7 +103,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     payload, uri = F.col("payload"), F.col("target_uri")
     title = F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), r"[ \t\r\n\f]+", " "))
     lang = F.regexp_extract(payload, LANG, 1)
-    cut = records.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload_digest", title.alias("title"), lang.alias("lang"), F.regexp_extract_all(payload, F.lit(LINK), 1).alias("hrefs"), plain_text(payload).alias("text"))
+    cut = once(records, title=title, lang=lang, hrefs=F.regexp_extract_all(payload, F.lit(LINK), 1), bare=bare_text(payload)).drop("payload")
+    cut = once(cut, text=tidy_text(F.col("bare"))).drop("bare")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
         F.when(F.col("title") != "", line("title", F.col("title"))).otherwise(F.lit("")),
@@ -105,7 +117,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block"), F.lit(0).cast("long").alias("n_outlinks")),
     )
     out = cut.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_headers", F.col("payload_digest").alias("source_digest"), F.explode(both).alias("r"))
-    out = out.select("page_id", "refers_to", "target_uri", "date", "http_headers", "source_digest", "r.*")
+    out = once(out.select("page_id", "refers_to", "target_uri", "date", "http_headers", "source_digest", "r.*"), _hex=F.sha1(F.col("block").cast("binary")))
     return out.select(
         "page_id",
         "warc_type",
@@ -115,7 +127,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         "date",
         "content_type",
         F.octet_length("block").cast("long").alias("content_length"),
-        F.concat(F.lit("sha1:"), base32_of_hex(F.sha1(F.col("block").cast("binary")))).alias("block_digest"),
+        F.concat(F.lit("sha1:"), base32_of_hex(F.col("_hex"))).alias("block_digest"),
         "source_digest",
         "http_headers",
         "n_outlinks",
