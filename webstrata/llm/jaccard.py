@@ -41,8 +41,8 @@ from webstrata.session import materialise, small_batches, stored
 SIZE = 4
 PERCENT = 85
 MOST = 3_000
-#: Bits of a set's parity sketch: 256 bytes stand for a set until it may link.
-PARITIES = 2048
+#: Bits of a set's parity sketch, by its size: 256 bytes to 8 kB stand for a set until it may link.
+PARITIES = (2048, 8192, 65536)
 #: Shingles ranked by frequency at most (so 2 MB are broadcast at most); all others come before them in the order.
 RANKED = 1 << 17
 
@@ -171,8 +171,21 @@ def sets_of(size: int, wanted):
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of ``PARITIES`` bits."""
-    return np.packbits((np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+    """Parities of how many shingles fall on each bit; larger sets get more bits, so that they don't all fill up."""
+    width = next((w for w in PARITIES if len(s) * 3 <= w), PARITIES[-1])
+    at = ((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch at a smaller width: parities that fall together are added."""
+    return np.bitwise_xor.reduce(words.reshape(-1, width // 64), axis=0)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """How many parities differ, at the smaller of two widths: at most the number of shingles only one set has."""
+    width = 64 * min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
 
 
 def sketches_of(size: int, wanted):
@@ -198,10 +211,10 @@ def plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARITIES // 8) for c in (4, 5))
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (4, 5))
+            far = np.array([apart(x, y) for x, y in zip(a, b, strict=True)], np.int64)
             need = -(-percent * n // (100 + percent))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(apart <= n - 2 * need))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(far <= n - 2 * need))
 
     return run
 
@@ -223,12 +236,20 @@ def may_link(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
-        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), PARITIES // 64)
+        raw = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        wide = np.array([64 * len(x) for x in raw])
+        # Every sketch at its own width and all smaller ones.
+        at_width = {w: np.array([folded(x, w) if 64 * len(x) >= w else np.zeros(w // 64, np.uint64) for x in raw]) for w in PARITIES if (wide >= w).any()}
         keep = np.zeros(len(n), bool)
         for i in range(len(n) - 1):
             j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
             both = n[j] + n[i]
-            near = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+            far = np.zeros(len(j), np.int64)
+            common = np.minimum(wide[j], wide[i])
+            for w in np.unique(common).tolist():
+                here = common == w
+                far[here] = np.bitwise_count(at_width[w][j[here]] ^ at_width[w][i]).sum(axis=1, dtype=np.int64)
+            near = far <= both - 2 * -(-percent * both // (100 + percent))
             keep[j[near]] = True
             keep[i] |= bool(near.any())
         return table.select(["s", "cid", "comp"]).filter(pa.array(keep))
@@ -386,6 +407,9 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     # Sketches tell which members of the regions left have anything to compare; only their sets travel.
     left = left.select("s", "cid", "comp").join(sketches(left.select("cid")), "cid").groupBy("s").applyInArrow(may_link(percent), "s long, cid long, comp long")
     left = stored(left)
+    # Thinned regions with the same members are one again.
+    same = left.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum(mixed).alias("sign"), F.min("cid").alias("low")).groupBy("members", "sign", "low").agg(F.min("s").alias("s"))
+    left = stored(left.join(same.select("s"), "s", "left_semi"))
     inner = left.join(sets(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(percent), "x long, y long")
     inner = stored(inner)
     if inner.limit(1).count():
