@@ -142,6 +142,51 @@ def test_op4_null_ids_stay(docs):
     assert jaccard.op4(docs).count() == len(rows())
 
 
+def without_ids(spark):
+    """Every text of ``rows`` under a null or a repeated id, and what links them: (rows, table, component of each row)."""
+    held = [(None if i % 3 == 0 else i % 4, r[1]) for i, r in enumerate(rows())] + [(77, "  "), (77, None)]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in held:
+        w = WORD.findall((t or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(held)))
+    for a, b in itertools.combinations(label, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            label = [label[a] if x == label[b] else x for x in label]
+    return held, spark.createDataFrame(held, "doc_id long, text string").repartition(3), sets, label
+
+
+def test_op4_null_and_repeated_ids(spark):
+    held, df, sets, label = without_ids(spark)
+    least = {x: min((i for (i, _), y in zip(held, label, strict=True) if x == y and i is not None), default=None) for x in label}
+    want = collections.Counter((i, len(s), least[x] if s else i) for (i, _), s, x in zip(held, sets, label, strict=True))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.joined(df, 5, 80).collect()) == want
+
+
+def test_one_of_each_null_and_repeated_ids(spark):
+    held, df, sets, label = without_ids(spark)
+    got = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+    order = lambda i: (i is None, i or 0)
+    left = collections.defaultdict(list)
+    for (i, t), s, x in zip(held, sets, label, strict=True):
+        if s:
+            left[x].append((i, t))
+    for members in left.values():
+        least = min((i for i, _ in members), key=order)
+        assert sum(g in members for g in got) == 1 and any(g in members and g[0] == least for g in got)
+    bare = [i for (i, _), s in zip(held, sets, strict=True) if not s]
+    assert sorted((i for i, t in got if not WORD.search(t or "")), key=order) == sorted([i for i in bare if i is None] + list({i for i in bare if i is not None}), key=order)
+
+
+def test_row_keys_that_clash_are_salted_anew(spark, monkeypatch):
+    _, df, _, _ = without_ids(spark)
+    want = collected(jaccard.joined(df, 5, 80))
+    good = jaccard.row_key
+    monkeypatch.setattr(jaccard, "row_key", lambda salt: good(salt) if salt else good(salt) % 4)
+    assert collected(jaccard.joined(df, 5, 80)) == want
+
+
 def test_op5(spark):
     rnd = np.random.default_rng(4)
     v = [(i, [float(np.float32(x)) for x in rnd.normal(size=7)]) for i in range(0, 260, 5)] + [(3, [0.5] * 7), (4, [0.5] * 7), (8, [0.5] * 4), (7, None), (9, [1.0, None] + [0.0] * 5), (11, [float("nan")] * 7), (12, [float("inf")] * 7), (13, []), (None, [1.0] * 7), (50, v2 := [9.0] * 7)]

@@ -21,18 +21,23 @@ Within regions the join goes on with documents as pivots:
 Links are verified on the sets themselves. Components come from iterated minimum labels with pointer jumping; copies
 are never expanded into pairs.
 
+Rows are told apart by a hash of doc_id and text, never by doc_id alone, and a class is named by the least hash among its
+rows; a hash that stands for two different sets is noticed, and another salt taken.
+
 Defined results: null or wordless text has no shingles, n_shingles 0, and is its own component; with fewer words than
-SIZE the whole sequence is the one shingle; repeated rows with one doc_id agree with each other; a null doc_id links
-like any other but sorts last as a component id; an empty table gives an empty result; only doc_id and text are read.
+SIZE the whole sequence is the one shingle; rows that share a doc_id, or have none, are documents of their own and link
+by their texts; component_id and class_id are the smallest doc_id of the component and the class, null where no member
+has one (so one id can name several components); an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits, kernels
@@ -85,18 +90,30 @@ def texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def row_key(salt: int) -> Column:
+    """What tells rows apart: equal for rows with one doc_id and one text only, but for chance (see ``told_apart``)."""
+    return F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
+
+
+def firsts_in(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which rows of a batch are in the bitmap, repeated rows once."""
+    once = np.zeros(len(ids), bool)
+    once[np.unique(ids, return_index=True)[1]] = True
+    return once & bits.holds(wanted, ids.view(np.uint64))
+
+
 def to_classes(size: int):
-    """doc_id, size of the shingle set and two hashes of it."""
+    """doc_id, row key, size of the shingle set and two hashes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2 = [], [], []
-            for t in texts(batch, 1):
+            for t in texts(batch, 2):
                 s = shingles(t, size)
                 n.append(len(s))
                 s1.append(s.sum(dtype=np.uint64))
                 s2.append(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2))], names=["doc_id", "n_shingles", "s1", "s2"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2))], names=["doc_id", "id", "n_shingles", "s1", "s2"])
 
     return run
 
@@ -130,7 +147,7 @@ def count_firsts(size: int, percent: int, frequent, reps):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = bits.holds(reps.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).tolist()
+            heads = firsts_in(batch.column(0).to_numpy(zero_copy_only=False), reps.value).tolist()
             found = [firsts(shingles(t, size), percent, frequent.value) for t, head in zip(texts(batch, 1), heads, strict=True) if head]
             s, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.record_batch([pa.array(signed(s)), pa.array(n.astype(np.int32))], names=["s", "n"])
@@ -144,7 +161,7 @@ def region_rows(size: int, percent: int, frequent, reps, again):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            heads = bits.holds(reps.value, ids.view(np.uint64)).tolist()
+            heads = firsts_in(ids, reps.value).tolist()
             out, who = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for i, t, head in zip(ids.tolist(), texts(batch, 1), heads, strict=True):
                 if head:
@@ -163,7 +180,7 @@ def sets_of(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = bits.holds(wanted.value, ids.view(np.uint64))
+            take = firsts_in(ids, wanted.value)
             blobs = [shingles(t, size).tobytes() for t, ok in zip(texts(batch, 1), take.tolist(), strict=True) if ok]
             yield pa.record_batch([pa.array(ids[take]), pa.array(blobs, pa.binary())], names=["cid", "set"])
 
@@ -194,7 +211,7 @@ def sketches_of(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = bits.holds(wanted.value, ids.view(np.uint64))
+            take = firsts_in(ids, wanted.value)
             held = [shingles(t, size) for t, ok in zip(texts(batch, 1), take.tolist(), strict=True) if ok]
             yield pa.record_batch([pa.array(ids[take]), pa.array([len(s) for s in held], pa.int64()), pa.array([sketch(s) for s in held], pa.binary())], names=["cid", "n", "sketch"])
 
@@ -328,22 +345,34 @@ def frequent_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
     return s[order], rank[order]
 
 
-def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every document."""
+def told_apart(rows: DataFrame) -> bool:
+    """Whether every row key stands for one doc_id and one set."""
+    several = F.count("doc_id").between(1, F.count(F.lit(1)) - 1)
+    for c in ("doc_id", "n_shingles", "s1", "s2"):
+        several = several | (F.min(c) < F.max(c))
+    return rows.groupBy("id").agg(several.alias("several")).filter("several").limit(1).count() == 0
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """doc_id, id (its row key), n_shingles, component_id, class_id, comp (one key a component; null without shingles) of every row, and the salt of the row keys."""
     small_batches(docs.sparkSession)
-    nothing = F.lit(2**63 - 1).cast("long")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), nothing).alias("doc_id"), "text")
     broadcast = docs.sparkSession.sparkContext.broadcast
-    rows = stored(keyed.mapInArrow(to_classes(size), "doc_id long, n_shingles long, s1 long, s2 long"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for salt in itertools.count():
+        keyed = named.select("doc_id", row_key(salt).alias("id"), "text")
+        rows = stored(keyed.mapInArrow(to_classes(size), "doc_id long, id long, n_shingles long, s1 long, s2 long"))
+        if told_apart(rows):
+            break
+    keyed = keyed.select("id", "text")
     key = ["n_shingles", "s1", "s2"]
-    classes = stored(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("cid")))
+    classes = stored(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.min("doc_id").alias("class_id")))
     reps = bits.bitmap(classes, F.col("cid"), classes.count())
     frequent = broadcast(frequent_shingles(keyed, size))
 
     counted = keyed.mapInArrow(count_firsts(size, percent, frequent, reps), "s long, n int").groupBy("s").agg(F.sum("n").alias("n"))
     again = stored(counted.filter("n > 1").select("s"))
     again = bits.bitmap(again, F.col("s"), again.count())
-    heads = classes.select("cid").distinct()
+    heads = classes.select("cid")
     # The bitmap lets some copies through; only heads of classes go on.
     found = keyed.mapInArrow(region_rows(size, percent, frequent, reps, again), "s long, cid long").join(heads, "cid", "left_semi").distinct()
     found = stored(found)
@@ -414,9 +443,18 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     inner = stored(inner)
     if inner.limit(1).count():
         labels = components(links.unionByName(inner))
-    out = rows.join(classes, key, "left").withColumn("cid", F.coalesce("cid", "doc_id")).join(labels, "cid", "left")
-    back = lambda c: F.when(c != nothing, c)
-    return out.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(F.coalesce("comp", "cid")).alias("component_id"), back(F.col("cid")).alias("class_id"))
+    named = classes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "comp").select(*key, "comp", "component_id", "class_id")
+    bare = F.col("n_shingles") == 0
+    out = rows.join(named, key, "left")
+    own = [F.when(bare, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")]
+    return out.select("doc_id", "id", "n_shingles", *own, "comp"), salt
+
+
+def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every document."""
+    return grouped(docs, size, percent)[0].select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -424,8 +462,20 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near-duplicates: of every component the row with the smallest doc_id stays, once."""
-    found = joined(docs.select("doc_id", "text"), size, percent)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    held = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"])).drop("_keep")
-    return held.dropDuplicates(["doc_id"])
+    """``docs`` without near-duplicates: of every component one row with the smallest doc_id stays.
+
+    Which of several such rows is settled by their row keys. Wordless rows stay, once for each doc_id; without a
+    doc_id each stays.
+    """
+    found, salt = grouped(docs.select("doc_id", "text"), size, percent)
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
+    bare = found.filter("comp is null")
+    keep = found.filter("comp is not null").groupBy("comp").agg(F.min(row).alias("r")).select("r.id")
+    keep = keep.unionByName(bare.filter("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("id")).select("id"))
+    keep = keep.unionByName(bare.filter("doc_id is null").select("id").distinct()).select(F.col("id").alias("_keep"))
+    columns = docs.columns
+    of_row = docs.withColumn("_id", row_key(salt))
+    # Wordless rows without a doc_id are all kept, so equal ones of them must not count as one.
+    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    held = of_row.join(keep, F.col("_id") == F.col("_keep")).withColumn("_lone", F.when(lone, F.monotonically_increasing_id()))
+    return held.dropDuplicates(["_id", "_lone"]).select(*(F.col(f"`{c}`") for c in columns))
