@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from webstrata.llm import debruijn, jaccard, mix, pieces, pii, quality, shards, suffix, topk, warc
+from webstrata.llm import bits, debruijn, jaccard, mix, pieces, pii, quality, shards, suffix, topk, warc
 from webstrata.llm.gsaca import suffix_array
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, h string, size string, shard int, th string, bucket int"
@@ -187,6 +187,15 @@ def test_row_keys_that_clash_are_salted_anew(spark, monkeypatch):
     assert collected(jaccard.joined(df, 5, 80)) == want
 
 
+def test_repeated_in_more_buckets_than_bytes(spark, monkeypatch):
+    """A few repeats, as thousands of files would deal them."""
+    monkeypatch.setattr(bits, "buckets", lambda rows: 14)
+    seen = np.random.default_rng(6).integers(0, 2**63, 600, dtype=np.uint64) * np.uint64(2)
+    df = spark.createDataFrame([(int(x),) for x in [*seen, *seen[:50]] for x in [x.view(np.int64)]], "h long").repartition(3)
+    found = bits.repeated(df, lambda batch: batch.column(0).to_numpy().view(np.uint64)).value
+    assert bits.holds_top(found, seen[:50]).all() and bits.holds_top(found, seen[50:]).sum() < 50
+
+
 def test_op5(spark):
     rnd = np.random.default_rng(4)
     v = [(i, [float(np.float32(x)) for x in rnd.normal(size=7)]) for i in range(0, 260, 5)] + [(3, [0.5] * 7), (4, [0.5] * 7), (8, [0.5] * 4), (7, None), (9, [1.0, None] + [0.0] * 5), (11, [float("nan")] * 7), (12, [float("inf")] * 7), (13, []), (None, [1.0] * 7), (50, v2 := [9.0] * 7)]

@@ -46,6 +46,12 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(blob, "u1", n, 4 * n)
 
 
+def buckets(rows: DataFrame) -> int:
+    """Leading digits of a hash that name its bucket: some four buckets a task."""
+    parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism)
+    return min(14, max(5, (4 * parts - 1).bit_length()))
+
+
 def repeated(rows: DataFrame, hashes) -> Broadcast:
     """Bitmap of the hashes seen more than once over all rows; ``hashes(batch)`` gives a batch's (uint64, repeats kept).
 
@@ -53,8 +59,7 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
     what is shuffled is five bytes a distinct hash and task, and the hottest hash is two entries a task. Numbers that
     only agree in their first 40 bits pass for repeated, which the bitmap's users have to stand anyway.
     """
-    parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism)
-    power = min(14, max(5, (4 * parts - 1).bit_length()))
+    power = buckets(rows)
 
     def deal(batches):
         held: list[np.ndarray] = []
@@ -85,7 +90,8 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
 
     found = stored(rows.mapInArrow(deal, "bucket int, v binary").groupBy("bucket").applyInArrow(meet, "bucket int, n long, v binary"))
     total = found.agg(F.sum("n")).first()[0] or 0
-    digits = min(MOST, max(LEAST, 1 << (16 * max(total, 1) - 1).bit_length())).bit_length() - 1
+    # Every bucket has a byte at least.
+    digits = max(power + 3, min(MOST, max(LEAST, 1 << (16 * max(total, 1) - 1).bit_length())).bit_length() - 1)
 
     def segment(batches):
         for batch in batches:
@@ -98,6 +104,7 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
 
     out = np.zeros((1 << digits) // 8, np.uint8)
     each = len(out) >> power
+    assert each >= 1
     for r in found.select("bucket", "v").mapInArrow(segment, "bucket int, bits binary").toLocalIterator():
         out[r["bucket"] * each : (r["bucket"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out)
