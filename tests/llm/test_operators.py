@@ -116,6 +116,21 @@ def test_sanitised_both_ways(docs, monkeypatch):
     assert collected(pii.sanitised(narrow)) == few
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_pii_terms_far_from_the_entity(spark, monkeypatch, small):
+    """A word discloses from anywhere in a document, and is marked wherever it stands."""
+    monkeypatch.setattr(pii, "SMALL", small)
+    far = "the and of to in was for on that with as it"
+    texts = [f"Zorbo {far} mail bob.q@mail.example.com {far} zorbo", f"zorbo {far} mail bob.q@mail.example.com {far}", f"{far} no mail but zorbo"] + [f"{far} mail no but filler{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x] for r in pii.op3(df).collect()}
+    marked = {i: [texts[i][int(a) : int(b)] for k, a, b in s if k in ("term", "gone")] for i, s in spans.items()}
+    assert marked[0] == ["Zorbo", "zorbo"] and marked[1] == ["zorbo"]
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert not any("zorbo" in clean[i].lower() for i in range(3)) and clean[2] == f"{far} no mail but [TERM]"
+    assert all(clean[i] == texts[i] for i in range(3, 43))
+
+
 def brute_components(size, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
