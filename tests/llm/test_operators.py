@@ -145,14 +145,58 @@ def brute_components(size, percent):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent", "most"), [(4, 85, 3000), (5, 80, 3000), (4, 97, 2)])
-def test_op4(docs, monkeypatch, size, percent, most):
+@pytest.mark.parametrize(("size", "percent", "most", "pivots"), [(4, 85, 1 << 20, 16), (5, 80, 1 << 20, 16), (4, 97, 2, 2), (4, 30, 2, 2), (5, 80, 2, 1)])
+def test_op4(docs, monkeypatch, size, percent, most, pivots):
     monkeypatch.setattr(jaccard, "MOST", most)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     want = brute_components(size, percent)
     for r in jaccard.joined(docs.filter("doc_id is not null"), size, percent).collect():
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r
 
 
+@pytest.mark.parametrize("percent", [30, 80, 85, 97])
+def test_linked_sets_share_a_signature(percent):
+    rnd = np.random.default_rng(percent)
+    schemes = jaccard.Schemes(percent)
+    for _ in range(3000):
+        n = int(rnd.integers(1, 60 if rnd.random() < 0.7 else 900))
+        a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rnd.random(n) > rnd.random() * (1 - percent / 100)], rnd.integers(0, 2**64, int(rnd.integers(0, 2 + n * (100 - percent) // 100)), dtype=np.uint64)]))
+        if len(b) and jaccard.linked(a, b, percent):
+            assert len(np.intersect1d(schemes.signatures(a), schemes.signatures(b))), (n, len(b))
+
+
+def template(n_docs, words, own, seed=8):
+    """Pages of one template, each with some words of its own: near the threshold to one another, but not linked."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for d in range(n_docs):
+        w = list(base)
+        for i in sorted(rnd.sample(range(0, words, 5), own)):
+            w[i] = f"d{d}x{i}"
+        out.append((d, " ".join(w)))
+    return out
+
+
+def test_op4_rounds_over_a_template(spark, monkeypatch):
+    """A region whose members don't link takes a number of rounds that grows with the logarithm of its size only."""
+    monkeypatch.setattr(jaccard, "MOST", 500)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rounds, cut = [], jaccard.cut_regions
+    monkeypatch.setattr(jaccard, "cut_regions", lambda *a: rounds.append(1) or cut(*a))
+    held = template(40, 200, 6) + [(100 + i, f"extra {t}") for i, t in template(40, 200, 6)[:3]]
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    sets = {i: set(zip(*(t.split()[k:] for k in range(4)), strict=False)) for i, t in held}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            label = {k: min(label[a], label[b]) if v in (label[a], label[b]) else v for k, v in label.items()}
+    assert len(set(label.values())) > 20
+    assert {r.doc_id: r.component_id for r in jaccard.joined(df, 4, 85).collect()} == label
+    assert 1 <= len(rounds) <= 7
+
+
 def test_op4_null_ids_stay(docs):
     assert jaccard.op4(docs).count() == len(rows())
 

@@ -1,22 +1,23 @@
 """N-gram Jaccard join in metric space: pivots, Voronoi regions and triangle-inequality windows, exact.
 
 Jaccard distance d is a metric; two documents link when d <= EPS = 1 - threshold. Almost all pairs of documents are at
-a distance near 1, where no pivot tells them apart, so the outermost pivots are single shingles: in any order of the
-shingles, two linked documents share one among the first |x| - ceil(threshold |x|) + 1 of either. The documents that
-have such a shingle among their first are its region; a document stands in every region it touches, which is the
-replication at the boundaries. The most frequent shingles come last in the order, so regions are small.
-
-Within regions the join goes on with documents as pivots:
-
-1. Equal sets are one class, joined by their hash; only one of each class goes on.
-2. Star pass (Spark joins): the region's smallest document is its pivot, and every member's distance to it is bounded by
-   a sketch of parities and, where it may be small enough and the two aren't in one component yet, computed. Members within EPS link to it, and so lie in one component; regions that are all one component are finished.
-3. In regions left over, members that the sketches keep apart from all other components are left out, and the
-   recursion takes place in the task: a pivot p splits the members into its ball
-   (d(x,p) <= EPS) and the rest; only pairs inside the window |d(x,p) - d(y,p)| <= EPS can link, and only those of
-   different components need comparing. The rest, with its own next pivot, goes on in the same way.
-   Regions of more than ``MOST`` members are not collected: they go through further star passes, each with a new pivot
-   that is then done, until they are one component or small.
+a distance near 1, where any pivot drawn at random is as far as any other. So pivots come from the documents' own
+neighbourhoods, and what makes neighbours is exact:
+
+1. Equal sets are one class, joined by their hash; only one document of each class goes on.
+2. Pivots. The range of shingle hashes is cut into segments, so many (``Schemes``) that two linked sets must agree
+   wholly in one that isn't empty. The smallest document among those that agree in a segment is a pivot, and all of
+   them are its candidates; linked documents are candidates of a common pivot. Unrelated documents don't agree in whole
+   segments, so regions hold neighbours only, and the work follows the input.
+3. Voronoi regions. A document's home is the pivot it agrees with in most segments, the nearest as far as segments
+   tell; its distance to it is computed. Within EPS (the pivot's ball) it links. A document near the boundary stays in
+   the regions of its other pivots too: those where the members' components still differ.
+4. Windows. In such a region all distances to the pivot are computed, then the pivot is done with; others can only link
+   inside the window |d(x,p) - d(y,p)| <= EPS, and only those of different components need comparing.
+5. Recursion. A region small enough for a task goes on there with a next pivot. A larger one takes many pivots at once,
+   is cut into their Voronoi regions, in which boundary documents (d(x,p) <= d(x,home) + 2 EPS) are replicated, and
+   each of these goes on alike. Where that doesn't tell documents apart the region stays whole and the number of pivots
+   doubles, so rounds stay logarithmic.
 
 Links are verified on the sets themselves. Components come from iterated minimum labels with pointer jumping; copies
 are never expanded into pairs.
@@ -32,7 +33,9 @@ has one (so one id can name several components); an empty table gives an empty r
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +48,10 @@ from webstrata.session import materialise, small_batches, stored
 
 SIZE = 4
 PERCENT = 85
-MOST = 3_000
-#: Bits of a set's parity sketch, by its size: 256 bytes to 8 kB stand for a set until it may link.
-PARITIES = (2048, 8192, 65536)
-#: Shingles ranked by frequency at most (so 2 MB are broadcast at most); all others come before them in the order.
-RANKED = 1 << 17
+#: Shingles of the members of a region that is collected: 8 MB.
+MOST = 1 << 20
+#: Pivots that a larger region takes in its first round.
+PIVOTS = 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -66,8 +68,49 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(grams)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+class Schemes:
+    """How the range of hashes is cut into segments, by the size of a set.
+
+    Sizes fall into levels such that linked sets are in one level or in neighbouring ones; a pair uses the cut of the
+    larger set's level. There at most ``most`` shingles are in one set only, so of the segments at most so many differ,
+    and a set with more segments that aren't empty agrees in one of these with all it links to. Sets that leave too many
+    empty (a few very small ones) also go by their first shingles in the order of hashes, of which linked sets share one.
+    """
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.low, self.made = percent, [1], {}
+
+    def cut(self, level: int) -> tuple[int, int]:
+        """Most shingles in which linked sets differ, and number of segments."""
+        if level not in self.made:
+            p, largest, least = self.percent, self.low[level + 1] - 1, self.low[max(level - 1, 0)]
+            most = 2 * largest * (100 - p) // (100 + p)
+            n = most + 1
+            while most and n < 3 * (most + 1):
+                empty = n * math.exp(-least / n)
+                if n - empty - 3 * math.sqrt(empty) > most:
+                    break
+                n += 1 + n // 64
+            self.made[level] = (most, n)
+        return self.made[level]
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of the segments of one set (ascending), in the cut of its own level and of the next."""
+        if not len(s):
+            return s
+        while len(self.low) < 3 or self.low[-3] <= len(s):
+            self.low.append(self.low[-1] * 100 // self.percent + 1)
+        level = bisect.bisect_right(self.low, len(s)) - 1
+        mixed, high, out = kernels.mix(s ^ np.uint64(0xA24BAED4963EE407)), s >> np.uint64(32), []
+        for at in (level, level + 1):
+            most, n = self.cut(at)
+            segment = (high * np.uint64(n)) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+            out.append(kernels.mix(np.add.reduceat(mixed, first) ^ kernels.mix(segment[first] + np.uint64((at + 1) << 32))))
+            if len(first) <= most:
+                prefix = len(s) - -(-self.percent * len(s) // 100) + 1
+                out.append(kernels.mix(mixed[:prefix] ^ np.uint64(at + 1)))
+        return np.concatenate(out)
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -118,174 +161,74 @@ def to_classes(size: int):
     return run
 
 
-def often(size: int):
-    """Shingles that stand out in a batch: (shingle, documents)."""
+def head_signatures(size: int, percent: int, reps):
+    """Batch (id, text) -> the signatures of each of its heads of classes."""
+    schemes = Schemes(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(shingles(t, size) for t in texts(batch, 0))]), return_counts=True)
-            stand = n >= max(4, batch.num_rows // 1000)
-            yield pa.record_batch([pa.array(signed(s[stand])), pa.array(n[stand])], names=["s", "n"])
-
-    return run
-
-
-def firsts(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set in the common order: by rank among the frequent (others before them), then by hash."""
-    known, rank = frequent
-    if not len(s):
-        return s
-    level = np.zeros(len(s), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        level = np.where(known[at] == s, rank[at], 0)
-    return s[np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]]
-
-
-def count_firsts(size: int, percent: int, frequent, reps):
-    """(shingle, how often) over the first shingles of the classes' heads, counted per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = firsts_in(batch.column(0).to_numpy(zero_copy_only=False), reps.value).tolist()
-            found = [firsts(shingles(t, size), percent, frequent.value) for t, head in zip(texts(batch, 1), heads, strict=True) if head]
-            s, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-            yield pa.record_batch([pa.array(signed(s)), pa.array(n.astype(np.int32))], names=["s", "n"])
+    def run(batch: pa.RecordBatch) -> list[np.ndarray]:
+        heads = firsts_in(batch.column(0).to_numpy(zero_copy_only=False), reps.value).tolist()
+        return [schemes.signatures(shingles(t, size)) if head else np.empty(0, np.uint64) for t, head in zip(texts(batch, 1), heads, strict=True)]
 
     return run
 
 
-def region_rows(size: int, percent: int, frequent, reps, again):
-    """(shingle, document) for the first shingles that some other document may have among its own."""
+def candidates(size: int, percent: int, reps, again):
+    """(signature, document) for the signatures that some other document may have among its own."""
+    signatures = head_signatures(size, percent, reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            heads = firsts_in(ids, reps.value).tolist()
-            out, who = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for i, t, head in zip(ids.tolist(), texts(batch, 1), heads, strict=True):
-                if head:
-                    s = firsts(shingles(t, size), percent, frequent.value)
-                    s = s[bits.holds(again.value, s)]
-                    out.append(s)
-                    who.append(np.full(len(s), i, np.int64))
-            yield pa.record_batch([pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(who))], names=["s", "cid"])
+            found = [s[bits.holds_top(again.value, s)] for s in signatures(batch)]
+            who = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in found])
+            yield pa.record_batch([pa.array(signed(np.concatenate([np.empty(0, np.uint64), *found]))), pa.array(who)], names=["s", "cid"])
 
     return run
 
 
-def sets_of(size: int, wanted):
-    """(document, set as sorted 64-bit words) of the documents in the bitmap."""
+def texts_of(wanted):
+    """(document, text) of the documents in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = firsts_in(ids, wanted.value)
-            blobs = [shingles(t, size).tobytes() for t, ok in zip(texts(batch, 1), take.tolist(), strict=True) if ok]
-            yield pa.record_batch([pa.array(ids[take]), pa.array(blobs, pa.binary())], names=["cid", "set"])
+            take = firsts_in(batch.column(0).to_numpy(zero_copy_only=False), wanted.value)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["cid", "text"]).filter(pa.array(take))
 
     return run
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each bit; larger sets get more bits, so that they don't all fill up."""
-    width = next((w for w in PARITIES if len(s) * 3 <= w), PARITIES[-1])
-    at = ((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
-
-
-def folded(words: np.ndarray, width: int) -> np.ndarray:
-    """A sketch at a smaller width: parities that fall together are added."""
-    return np.bitwise_xor.reduce(words.reshape(-1, width // 64), axis=0)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> int:
-    """How many parities differ, at the smaller of two widths: at most the number of shingles only one set has."""
-    width = 64 * min(len(a), len(b))
-    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
-
-
-def sketches_of(size: int, wanted):
-    """(document, size of its set, sketch) of the documents in the bitmap."""
+def measured(size: int):
+    """(x, y, text of x, text of y) -> (x, y, sizes of their sets, shingles in common); rows with one y are cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, np.empty(0, np.uint64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            take = firsts_in(ids, wanted.value)
-            held = [shingles(t, size) for t, ok in zip(texts(batch, 1), take.tolist(), strict=True) if ok]
-            yield pa.record_batch([pa.array(ids[take]), pa.array([len(s) for s in held], pa.int64()), pa.array([sketch(s) for s in held], pa.binary())], names=["cid", "n", "sketch"])
+            n_x, n_y, common = [], [], []
+            for y, a, b in zip(batch.column(1).to_pylist(), texts(batch, 2), texts(batch, 3), strict=True):
+                if y != last:
+                    last, known = y, shingles(b, size)
+                s = shingles(a, size)
+                n_x.append(len(s))
+                n_y.append(len(known))
+                common.append(len(np.intersect1d(s, known, assume_unique=True)))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n_x, n_y, common))], names=["x", "y", "n_x", "n_y", "common"])
 
     return run
 
 
-def plausible(percent: int):
-    """Pairs with sizes and sketches -> those whose sets may be near enough.
-
-    Every shingle of one set alone flips one parity, so the number of parities that differ is at most the number of such
-    shingles: what is left out can't link.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (4, 5))
-            far = np.array([apart(x, y) for x, y in zip(a, b, strict=True)], np.int64)
-            need = -(-percent * n // (100 + percent))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(far <= n - 2 * need))
-
-    return run
-
-
-def verified(percent: int):
-    """Pairs with both sets -> the pairs that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def may_link(percent: int):
-    """The members of a region whose sketch doesn't rule out a link to a member of another component."""
-
-    def run(table: pa.Table) -> pa.Table:
-        comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
-        wide = np.array([64 * len(x) for x in raw])
-        # Every sketch at its own width and all smaller ones.
-        at_width = {w: np.array([folded(x, w) if 64 * len(x) >= w else np.zeros(w // 64, np.uint64) for x in raw]) for w in PARITIES if (wide >= w).any()}
-        keep = np.zeros(len(n), bool)
-        for i in range(len(n) - 1):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent))
-            both = n[j] + n[i]
-            far = np.zeros(len(j), np.int64)
-            common = np.minimum(wide[j], wide[i])
-            for w in np.unique(common).tolist():
-                here = common == w
-                far[here] = np.bitwise_count(at_width[w][j[here]] ^ at_width[w][i]).sum(axis=1, dtype=np.int64)
-            near = far <= both - 2 * -(-percent * both // (100 + percent))
-            keep[j[near]] = True
-            keep[i] |= bool(near.any())
-        return table.select(["s", "cid", "comp"]).filter(pa.array(keep))
-
-    return run
-
-
-def within_region(percent: int):
+def within_region(size: int, percent: int):
     """The recursion inside a region: pivots, balls and windows over members whose components still differ."""
     eps = 1 - percent / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("cid").to_pylist()
-        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        sets = [shingles(t or b"", size) for t in table.column("text").cast(pa.binary()).to_pylist()]
         n = len(ids)
         sizes = np.array([len(s) for s in sets])
         _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         symbols, flat = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(n), sizes)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        mark = np.zeros(len(symbols), bool)
         left = np.arange(n)
         links: list[tuple[int, int]] = []
 
@@ -294,11 +237,12 @@ def within_region(percent: int):
                 links.append((ids[a], ids[b]))
                 comp[comp == comp[b]] = comp[a]
 
-        while len(left) > 1 and len(np.unique(comp[left])) > 1:
+        while len(left) > 1 and (comp[left] != comp[left[0]]).any():
             p = left[0]
-            mark = np.zeros(len(symbols), bool)
-            mark[flat[owner == p]] = True
+            own = flat[begin[p] : begin[p + 1]]
+            mark[own] = True
             common = np.bincount(owner, weights=mark[flat], minlength=n)[left].astype(np.int64)
+            mark[own] = False
             d = 1 - common / (sizes[left] + sizes[p] - common)
             ball = 100 * common >= percent * (sizes[left] + sizes[p] - common)
             for x in left[ball]:
@@ -336,13 +280,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def frequent_shingles(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``RANKED`` most frequent shingles at most, ascending, with ranks from rare to frequent. Only an order: any is exact."""
-    found = keyed.select("text").mapInArrow(often(size), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(RANKED).toArrow()
-    s = found.column("s").to_numpy().view(np.uint64)
-    rank = np.arange(len(s), 0, -1, dtype=np.int64)
-    order = np.argsort(s)
-    return s[order], rank[order]
+def cut_regions(large: DataFrame, small: DataFrame, distances, n_pivots: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """One round over regions too large for a task: links with some ``n_pivots`` pivots each, and the regions left.
+
+    Documents go to the Voronoi region of their nearest pivot, and to those of all pivots that are not further than it
+    by more than ``reach``; two linked documents meet in the home of either. A region that would more than double that
+    way stays whole.
+    """
+    draw = F.pmod(F.xxhash64("cid", "s", F.lit(n_pivots)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    least = large.groupBy("s").agg(F.min("cid").alias("cid"))
+    pivots = stored(large.filter(draw * F.col("members") < n_pivots).select("s", "cid").unionByName(least).distinct())
+    rest = stored(large.select("s", "cid", "n_shingles", "members").join(pivots, ["s", "cid"], "left_anti"))
+    apart = large.select("s", F.col("cid").alias("x")).join(pivots.select("s", F.col("cid").alias("y")), "s").filter("x <> y")
+    known = stored(distances(apart.select("x", "y").distinct()))
+    at = rest.withColumnRenamed("cid", "x").join(pivots.select("s", F.col("cid").alias("y")), "s").join(known, ["x", "y"])
+    home = at.groupBy("s", "x").agg(F.min("d").alias("home"))
+    cells = stored(at.join(home, ["s", "x"]).filter(F.col("d") <= F.col("home") + F.lit(reach)).select("s", "members", F.xxhash64("s", "y").alias("cell"), F.col("x").alias("cid"), "n_shingles"))
+    whole = cells.groupBy("s").agg((F.count(F.lit(1)) > 2 * F.max("members")).alias("whole"))
+    split = cells.join(whole.filter("NOT whole"), "s", "left_semi").select(F.col("cell").alias("s"), "cid", "n_shingles")
+    same = rest.join(whole.filter("whole"), "s", "left_semi").select("s", "cid", "n_shingles")
+    return known.filter("near").select("x", "y"), stored(small.select("s", "cid", "n_shingles").unionByName(split).unionByName(same))
 
 
 def told_apart(rows: DataFrame) -> bool:
@@ -367,79 +324,57 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
     key = ["n_shingles", "s1", "s2"]
     classes = stored(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.min("doc_id").alias("class_id")))
     reps = bits.bitmap(classes, F.col("cid"), classes.count())
-    frequent = broadcast(frequent_shingles(keyed, size))
-
-    counted = keyed.mapInArrow(count_firsts(size, percent, frequent, reps), "s long, n int").groupBy("s").agg(F.sum("n").alias("n"))
-    again = stored(counted.filter("n > 1").select("s"))
-    again = bits.bitmap(again, F.col("s"), again.count())
-    heads = classes.select("cid")
-    # The bitmap lets some copies through; only heads of classes go on.
-    found = keyed.mapInArrow(region_rows(size, percent, frequent, reps, again), "s long, cid long").join(heads, "cid", "left_semi").distinct()
-    found = stored(found)
-    # Regions with the same members are one: told by their number and a sum of hashes.
-    mixed = F.xxhash64("cid").cast("decimal(20,0)")
-    regions = found.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum(mixed).alias("sign"), F.min("cid").alias("pivot")).filter("members > 1")
-    regions = regions.groupBy("members", "sign", "pivot").agg(F.min("s").alias("s")).select("s", "pivot")
-    touching = stored(found.join(regions, "s").select("s", "cid", "pivot"))
-
-    def sets(ids: DataFrame) -> DataFrame:
-        ids = stored(ids.distinct())
-        held = keyed.mapInArrow(sets_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, set binary")
-        return held.join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set"))
-
-    def sketches(ids: DataFrame) -> DataFrame:
+    signatures = head_signatures(size, percent, reps)
+    again = bits.repeated(keyed, lambda batch: np.concatenate([np.empty(0, np.uint64), *signatures(batch)]))
+    found = stored(keyed.mapInArrow(candidates(size, percent, reps, again), "s long, cid long"))
+    pivots = found.groupBy("s").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot < last").select("s", "pivot")
+    touching = stored(found.join(pivots, "s").filter("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("agree")))
+
+    def held(ids: DataFrame) -> DataFrame:
+        """cid and text of the documents ``ids``."""
         ids = stored(ids.distinct())
-        held = keyed.mapInArrow(sketches_of(size, bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, n long, sketch binary")
-        return stored(held.join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        held = stored(sets(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid")))))
-        a = held.select(F.col("cid").alias("x"), F.col("set").alias("set_x"))
-        b = held.select(F.col("cid").alias("y"), F.col("set").alias("set_y"))
-        return pairs.join(a, "x").join(b, "y").select("x", "y", "set_x", "set_y").mapInArrow(verified(percent), "x long, y long")
-
-    def star(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Links among the pairs (and the known ones): sketches first, then one pivot a member, then only pairs still apart."""
-        pairs = stored(pairs)
-        held = sketches(pairs.select(F.col("x").alias("cid")).union(pairs.select(F.col("y").alias("cid"))))
-        near = pairs
-        for side in ("x", "y"):
-            near = near.join(held.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-        near = near.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-        near = stored(near.select("x", "y", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(plausible(percent), "x long, y long"))
-        first = stored(near.groupBy("x").agg(F.min("y").alias("y")).select("x", "y"))
-        found = stored(exact(first) if known is None else exact(first).unionByName(known))
-        at = components(found)
-        rest = near.join(first, ["x", "y"], "left_anti")
-        for side in ("x", "y"):
-            rest = rest.join(at.select(F.col("cid").alias(side), F.col("comp").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-        rest = stored(rest.filter("c_x <> c_y").select("x", "y"))
-        return stored(found.unionByName(exact(rest)))
-
-    links = star(touching.filter("cid <> pivot").select(F.col("cid").alias("x"), F.col("pivot").alias("y")).distinct(), None)
+        some = keyed.mapInArrow(texts_of(bits.bitmap(ids, F.col("cid"), ids.count())), "cid long, text string")
+        return some.groupBy("cid").agg(F.first("text").alias("text")).join(ids, "cid", "left_semi")
+
+    def distances(pairs: DataFrame) -> DataFrame:
+        """x, y, d, near (whether they link) of pairs (x, y). Texts move, which take half the room of their sets."""
+        rows = held(pairs.select(F.col("x").alias("cid"))).withColumnRenamed("cid", "x").withColumnRenamed("text", "text_x")
+        ends = held(pairs.select(F.col("y").alias("cid"))).withColumnRenamed("cid", "y").withColumnRenamed("text", "text_y")
+        met = pairs.join(rows, "x").join(ends, "y").select("x", "y", "text_x", "text_y")
+        made = met.mapInArrow(measured(size), "x long, y long, n_x long, n_y long, common long")
+        union = F.col("n_x") + F.col("n_y") - F.col("common")
+        return made.select("x", "y", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("near"))
+
+    def labelled(rows: DataFrame, labels: DataFrame, name: str, comp: str) -> DataFrame:
+        of = labels.select(F.col("cid").alias(name), F.col("comp").alias(comp))
+        return rows.join(of, name, "left").withColumn(comp, F.coalesce(comp, name))
+
+    homes = stored(touching.groupBy("cid").agg(F.max(F.struct("agree", (-F.xxhash64("pivot")).alias("_h"), "pivot")).alias("h")).select(F.col("cid").alias("x"), F.col("h.pivot").alias("y")))
+    links = stored(distances(homes).filter("near").select("x", "y"))
     labels = components(links)
-    # A pivot has met all members of its region and leaves it.
-    left = touching.filter("cid <> pivot").select("s", "cid")
+    # Boundary documents: their other pivots, where components still differ.
+    others = touching.select(F.col("cid").alias("x"), F.col("pivot").alias("y")).join(homes, ["x", "y"], "left_anti")
+    others = labelled(labelled(others, labels, "x", "c_x"), labels, "y", "c_y").filter("c_x <> c_y").select("x", "y")
+    links = stored(links.unionByName(distances(stored(others)).filter("near").select("x", "y")))
+    labels = components(links)
+
+    # A pivot has met its region and leaves it.
+    left, n_pivots = stored(touching.select(F.col("pivot").alias("s"), "cid").join(classes.select("cid", "n_shingles"), "cid")), PIVOTS
+    mixed = F.xxhash64("cid").cast("decimal(20,0)")
     while True:
-        named = left.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        open_ = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("s", "size")
-        left = stored(named.join(open_, "s"))
-        large = left.filter(F.col("size") > MOST)
+        at = labelled(left, labels, "cid", "comp")
+        # Regions with the same members are one: told by their number and a sum of hashes.
+        regions = at.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(mixed).alias("sign"), F.sum("n_shingles").alias("held"))
+        regions = regions.filter("lo < hi").groupBy("members", "sign").agg(F.min("s").alias("s"), F.max("held").alias("held"))
+        left = stored(at.join(regions.select("s", "members", "held"), "s").select("s", "cid", "n_shingles", "comp", "members", "held"))
+        large = left.filter(F.col("held") > MOST)
         if large.limit(1).count() == 0:
             break
-        pivots = stored(large.groupBy("s").agg(F.min(F.struct("cid", "comp")).alias("p")).select("s", F.col("p.cid").alias("y"), F.col("p.comp").alias("its")))
-        pairs = large.join(pivots, "s").filter("comp <> its").select(F.col("cid").alias("x"), "y").distinct()
-        links = star(pairs, links)
+        met, left = cut_regions(large, left.filter(F.col("held") <= MOST), distances, n_pivots, 2 * (1 - percent / 100) + 1e-9)
+        links = stored(links.unionByName(met))
         labels = components(links)
-        left = left.select("s", "cid").join(pivots.select("s", F.col("y").alias("cid")), ["s", "cid"], "left_anti")
-
-    # Sketches tell which members of the regions left have anything to compare; only their sets travel.
-    left = left.select("s", "cid", "comp").join(sketches(left.select("cid")), "cid").groupBy("s").applyInArrow(may_link(percent), "s long, cid long, comp long")
-    left = stored(left)
-    # Thinned regions with the same members are one again.
-    same = left.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum(mixed).alias("sign"), F.min("cid").alias("low")).groupBy("members", "sign", "low").agg(F.min("s").alias("s"))
-    left = stored(left.join(same.select("s"), "s", "left_semi"))
-    inner = left.join(sets(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(percent), "x long, y long")
+        n_pivots *= 2
+    inner = left.select("s", "cid", "comp").join(held(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(size, percent), "x long, y long")
     inner = stored(inner)
     if inner.limit(1).count():
         labels = components(links.unionByName(inner))
