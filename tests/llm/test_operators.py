@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from webstrata.llm import bits, debruijn, jaccard, mix, pieces, pii, quality, shards, suffix, topk, warc
 from webstrata.llm.gsaca import suffix_array
@@ -273,9 +275,36 @@ def test_op5(spark):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     assert collected(topk.op5(df)) == sorted(want, key=repr)
     assert topk.op5(df.limit(0)).count() == 0
-    huge = spark.createDataFrame([(0, [1e30, 3.0]), (1, [2.0, 1e30])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="."):
-        topk.op5(huge).collect()
+    extra = df.withColumn("place", F.lit("x")).withColumn("q", F.lit(1)).withColumn("score", F.lit(None).cast("string"))
+    assert collected(topk.op5(extra)) == sorted(want, key=repr)
+
+
+def test_op5_large_components(spark):
+    """One large component changes nothing for the others; scores beyond a long count as the nearest long."""
+    rnd = np.random.default_rng(11)
+    v = [(i, [float(x) for x in rnd.normal(size=6)]) for i in range(0, 300, 3)]
+    v += [(301, [1e17, 0.0, 0.0, 0.0, 0.0, 0.0]), (302, [0.0] * 5 + [-1e300]), (400, [0.0, 0.0, 1.7e308, 0.0, 0.0, -3.0]), (303, [3e5, -3e5, 1.0, 2.0, 3e5, 0.0])]
+    whole = {i: [int(min(max(math.floor(x * 256) if abs(x) < 1e300 else x * 256, -topk.HUGE), topk.HUGE)) for x in e] for i, e in v}
+    want = []
+    for q in [i for i in whole if i % 50 == 0]:
+        scores = {i: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], e, strict=True)))) for i, e in whole.items() if i != q}
+        want += [(q, n + 1, i, scores[i]) for n, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    assert collected(topk.op5(df)) == sorted(want, key=repr)
+
+
+def test_op5_blocks_and_cutoff(spark, monkeypatch):
+    """Several blocks of queries agree with one; the cutoff keeps most pairs from being scored in full."""
+    rnd = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rnd.normal(size=16)]) for i in range(1500)], "vec_id long, embedding array<float>")
+    want = collected(topk.op5(df))
+    rows, width = topk.sliced(df, topk.PARTS)
+    (queries,) = topk.query_blocks(rows, width, topk.PARTS, topk.EVERY, topk.SCALE)
+    pairs = topk.collected(rows, spark.sparkContext.broadcast(queries), topk.PARTS, topk.K, topk.SCALE)
+    assert len(queries.ids) == 30 and pairs.count() < 30 * 1500 / 4
+    monkeypatch.setattr(topk, "QUERY_BYTES", 900)
+    monkeypatch.setattr(topk, "SLICE", 200)
+    assert collected(topk.op5(df)) == want
 
 
 def test_op6(docs):

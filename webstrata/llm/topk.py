@@ -1,25 +1,28 @@
 """Exact top-k search by three-phase uniform threshold over lists of partial scores.
 
-A vector's components are cut into ``PARTS`` parts; each part scores every (query, vector) pair by its share of the
-inner product, shifted so that the least share is 0. The phases, each one pass over blocks of vectors:
-
-1. gather: the k largest shares of every part (per block, then over all), summed per vector, bound each query's k-th
-   best total from below;
-2. cutoff: that bound divided by the number of parts is sent to every block. A vector none of whose shares reaches it
-   totals less than the bound, so it can't be among the k best; all others are collected;
-3. resolve: the collected vectors' missing shares are added, exactly, and the k best by (score, smaller vec_id) leave
-   each block; the best of those are the result.
-
-Scale: queries and vectors are packed into blocks of bounded size and every pair of blocks is one unit of work, joined
-on the query block's number, so nothing grows with the input but the number of units; what a block sends on is at most
-PARTS * k or k entries a query. Queries are a stated set (vec_id divisible by ``every``), in blocks.
+A vector's components are cut into ``PARTS`` parts, and each part is a column of its own: the list of a part holds the
+share of the inner product that this part gives to every (query, vector) pair. Lists are read apart from each other, by
+tasks over slices of the vectors. The phases:
+
+1. gather: every slice of every list names its k largest shares per query; the vectors named are scored in full, and
+   the k-th best of these scores is at most the query's true k-th best score;
+2. cutoff: that score divided by the number of parts is sent to all tasks. A vector none of whose shares reaches it
+   totals less, so it can't be among the k best; the others are collected, with the shares that reached it;
+3. resolve: the collected vectors' missing shares, and only those, are computed and added; the k best by
+   (score, smaller vec_id) are the result.
+
+Scale: tasks follow the number of vectors. Queries are a stated set (vec_id divisible by ``every``) and go round in
+blocks of ``QUERY_BYTES``, the only thing sent to all tasks, with one pass over the lists for each block; a block's
+cutoffs, one number a query, are all that reaches the driver. What is shuffled is k entries a query and slice, and the
+entries that reach the cutoff; fewer parts make that share smaller.
 
 Defined results: vectors that are null, hold a null or a non-finite component take no part; shorter vectors count as
-padded with zeros; a query's own id is no candidate (also in repeated rows), other repeated rows are candidates each, and of several
-vectors under a query's id the smallest in array order asks;
-with fewer than k candidates all are returned; ties go to the smaller vec_id; null ids take no part, as they can't be
-told apart; an empty table gives an empty result. Sums stay exact: components are whole numbers, and float64 is only
-used while sums are below 2^53, whole-number arithmetic of Python beyond.
+padded with zeros; a query's own id is no candidate (also in repeated rows), other repeated rows are candidates each, and
+of several vectors under a query's id the smallest in array order asks; with fewer than k candidates all are returned;
+ties go to the smaller vec_id; null ids take no part, as they can't be told apart; an empty table gives an empty result.
+Scores are exact: components are whole numbers, added as float64 while sums stay below 2^52; pairs with a larger
+component pass every cutoff and are added by whole-number arithmetic. Scores beyond a long count as the nearest long, and
+components whose 256-fold is beyond a double as the largest double. Columns other than vec_id and embedding aren't read.
 """
 
 from __future__ import annotations
@@ -27,140 +30,191 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webstrata.session import materialise
+from webstrata.session import stored
 
 K = 5
 EVERY = 50
 SCALE = 256
-PARTS = 4
-BLOCK = 2048
-QUERY_BLOCK = 512
+PARTS = 2
+#: Vectors of a slice, and bytes of queries sent to all tasks at once.
+SLICE = 8192
+QUERY_BYTES = 1 << 24
+#: Queries multiplied with a batch at a time.
+TILE = 256
+HUGE = float(np.finfo(np.float64).max)
+LONG = 2**63
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and floor(scale * x) of every usable vector, as doubles that hold whole numbers."""
+def usable(vectors: DataFrame) -> DataFrame:
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.col("vec_id").isNotNull()
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-    return vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    return vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+
 
+def quantised(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) in double precision."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x.astype(np.float64) * scale), -HUGE, HUGE)
 
-def packed(rows: DataFrame, size: int, total: int, by: str) -> DataFrame:
-    """Blocks of about ``size`` vectors: (block, ids, vectors), dealt by a hash of ``by``, which no two rows share."""
-    blocks = max(1, -(-total // size))
-    key = F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")
-    return rows.withColumn("block", key).groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
 
+def quantised_column(v: Column, scale: int) -> Column:
+    """The same for an array column. Doubles of 2^53 and more are whole."""
+    y = lambda x: F.greatest(F.least(x * scale, F.lit(HUGE)), F.lit(-HUGE))
+    return F.transform(v.cast("array<double>"), lambda x: F.when(F.abs(y(x)) < float(1 << 53), F.floor(F.when(F.abs(y(x)) < float(1 << 53), y(x))).cast("double")).otherwise(y(x)))
 
-def matrix(vectors: list, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+
+def matrix(column: pa.Array, width: int, scale: int) -> np.ndarray:
+    """A column of vectors as rows of quantised components, padded with zeros."""
+    values, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width))
+    at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(column)), sizes), at] = quantised(values, scale)
     return out
 
 
-def shares(queries: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
-    """Per part, the (query, vector) shares of the inner product; object arithmetic where float64 could round."""
-    width = queries.shape[1]
-    bound = (np.abs(queries).max(initial=0) or 0) * (np.abs(vectors).max(initial=0) or 0) * max(width, 1)
-    cuts = np.linspace(0, width, PARTS + 1).astype(int)
-    if bound >= 2**52:
-        as_int = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape)
-        queries, vectors = as_int(queries), as_int(vectors)
-    return [queries[:, a:b] @ vectors[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)]
+class Block:
+    """A block of queries: ids, components by part, and which are small enough for float64."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, parts: int) -> None:
+        self.width = v.shape[1]
+        self.most = np.floor(np.sqrt(2.0**52 / max(self.width, 1)))
+        self.cuts = np.linspace(0, self.width, parts + 1).astype(int).tolist()
+        self.ids, self.v = ids, v
+        self.small = (np.abs(v) <= self.most).all(axis=1)
 
+    def part(self, p: int) -> slice:
+        return slice(self.cuts[p], self.cuts[p + 1])
 
-def pair(pdf_row) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids and shares of one unit of work; a query's own id is masked later. All units cut the same width."""
-    width = pdf_row.width
-    return np.array(pdf_row.q_ids, dtype=np.int64), np.array(pdf_row.ids, dtype=np.int64), shares(matrix(pdf_row.q_vs, width), matrix(pdf_row.vs, width))
+    def tiles(self, p: int, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first query, shares) of part p for all queries, -inf for a query's own id and where float64 may round."""
+        small = (np.abs(v) <= self.most).all(axis=1)
+        for q in range(0, len(self.ids), TILE):
+            shares = np.where(self.small[q : q + TILE, None] & small, np.where(self.small[q : q + TILE, None], self.v[q : q + TILE, self.part(p)], 0) @ np.where(small[:, None], v, 0).T, -np.inf)
+            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            own = np.flatnonzero((self.ids[at] == ids) & (at >= q) & (at < q + TILE))
+            shares[at[own] - q, own] = -np.inf
+            yield q, shares
 
 
-def least_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Phase 1a: the least share of every query and part in a block, from which shares are counted."""
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            q, v, parts = pair(row)
-            for p, m in enumerate(parts):
-                yield pd.DataFrame({"query_id": q, "part": p, "low": [int(x) for x in m.min(axis=1)] if len(v) else 0})
+def local_lists(block, p: int, k: int, scale: int):
+    """Phase 1: (query, place) of the k largest shares of every query in a slice of list p."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = block.value
+        best, where = np.full((len(b.ids), k), -np.inf), np.zeros((len(b.ids), k), np.int64)
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            for q, shares in b.tiles(p, batch.column(1).to_numpy(), matrix(batch.column(2), b.cuts[p + 1] - b.cuts[p], scale)):
+                rows = slice(q, q + len(shares))
+                both = np.concatenate([best[rows], shares], axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                at = np.concatenate([where[rows], np.broadcast_to(places, shares.shape)], axis=1)
+                best[rows], where[rows] = np.take_along_axis(both, top, axis=1), np.take_along_axis(at, top, axis=1)
+        q, j = np.nonzero(best > -np.inf)
+        yield pa.record_batch([pa.array(q.astype(np.int32)), pa.array(where[q, j])], names=["q", "place"])
+
+    return run
 
-def largest_shares(k: int):
-    """Phase 1b: per query and part the k largest shares of a block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def entries(block, cutoff, p: int, parts: int, scale: int):
+    """Phase 2: (query, place, bit of the part, share) of what reaches the cutoff in a slice of list p; no bit where float64 may round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, least = block.value, cutoff.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                q, v, parts = pair(row)
-                own = q[:, None] == v[None, :]
-                for p, m in enumerate(parts):
-                    n = min(len(v), k + 1 + int(own.sum(axis=1).max(initial=0)))
-                    top = np.argpartition(-m.astype(float), n - 1, axis=1)[:, :n]
-                    at = np.repeat(np.arange(len(q)), n)
-                    cols = top.ravel()
-                    good = ~own[at, cols]
-                    at, cols = at[good], cols[good]
-                    yield pd.DataFrame({"query_id": q[at], "part": p, "place": row.block * (1 << 32) + cols, "share": [int(x) for x in m[at, cols]]})
+            places, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            v = matrix(batch.column(2), b.cuts[p + 1] - b.cuts[p], scale)
+            for q, shares in b.tiles(p, ids, v):
+                i, j = np.nonzero((shares * parts >= least[q : q + len(shares), None]) & (shares > -np.inf))
+                yield pa.record_batch([pa.array((i + q).astype(np.int32)), pa.array(places[j]), pa.array(np.full(len(i), 1 << p, np.int32)), pa.array(shares[i, j].astype(np.int64))], names=["q", "place", "have", "share"])
+                large = ~b.small[q : q + len(shares), None] | ~(np.abs(v) <= b.most).all(axis=1)
+                i, j = np.nonzero(large & (b.ids[q : q + len(shares), None] != ids))
+                yield pa.record_batch([pa.array((i + q).astype(np.int32)), pa.array(places[j]), pa.array(np.zeros(len(i), np.int32)), pa.array(np.zeros(len(i), np.int64))], names=["q", "place", "have", "share"])
 
     return run
 
 
-def resolved(k: int):
-    """Phases 2 and 3: collect what reaches the cutoff in some part, add the other shares, keep the k best of the block."""
+def resolved(block, parts: int, scale: int):
+    """Phase 3: (query, vec_id, score) of pairs with their known shares (``have``: bits of these parts), the missing ones added."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = block.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                q, v, parts = pair(row)
-                cut = {int(i): (list(low), int(t)) for i, low, t in zip(row.c_ids, row.c_lows, row.c_totals, strict=True)}
-                whole = sum(parts)
-                out: list[tuple[int, int, int]] = []
-                for a, query in enumerate(q):
-                    lows, total = cut[int(query)]
-                    # share - low >= total / parts, in whole numbers
-                    reach = np.zeros(len(v), dtype=bool)
-                    for p, m in enumerate(parts):
-                        reach |= (m[a] >= lows[p] + total / PARTS - 1) if m.dtype != object else np.array([(x - lows[p]) * PARTS >= total for x in m[a]], dtype=bool)
-                    found = np.flatnonzero(reach & (v != query))
-                    score = whole[a, found]
-                    best = np.lexsort((v[found], -score))[:k] if score.dtype != object else sorted(range(len(found)), key=lambda j: (-score[j], v[found[j]]))[:k]
-                    out += [(int(query), int(v[found[j]]), int(score[j])) for j in best]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            q, have, score = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy().copy()
+            v = np.concatenate([matrix(batch.column(4 + p), b.cuts[p + 1] - b.cuts[p], scale) for p in range(parts)], axis=1)
+            exact = b.small[q] & (np.abs(v) <= b.most).all(axis=1)
+            for p in range(parts):
+                at = np.flatnonzero(exact & (have >> p & 1 == 0))
+                score[at] += np.einsum("ij,ij->i", b.v[q[at], b.part(p)], v[at, b.part(p)]).astype(np.int64)
+            for i in np.flatnonzero(~exact).tolist():
+                score[i] = max(-LONG, min(LONG - 1, sum(int(x) * int(y) for x, y in zip(b.v[q[i]].tolist(), v[i].tolist(), strict=True))))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], names=["q", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+def sliced(vectors: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """The usable vectors, one column a part, in slices; and the longest vector's length."""
+    rows = usable(vectors)
+    total, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    cuts = np.linspace(0, width, parts + 1).astype(int).tolist()
+    columns = [F.slice("embedding", a + 1, b - a).alias(f"p{p}") for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rows = rows.repartition(max(1, -(-total // SLICE))).select(F.monotonically_increasing_id().alias("place"), "vec_id", *columns)
+    return stored(rows), width
+
+
+def query_blocks(rows: DataFrame, width: int, parts: int, every: int, scale: int) -> Iterator[Block]:
+    """All queries in blocks of ``QUERY_BYTES`` or so, ascending ids in each."""
+    v = quantised_column(F.concat(*(F.col(f"p{p}") for p in range(parts))), scale)
+    asked = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = -(-asked.count() * 8 * max(width, 1) // QUERY_BYTES)
+    for i in range(blocks):
+        held = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").toArrow().combine_chunks()
+        if held.num_rows:
+            yield Block(held.column("vec_id").to_numpy(), matrix(held.column("v").combine_chunks(), width, 1), parts)
+
+
+def collected(rows: DataFrame, block, parts: int, k: int, scale: int) -> DataFrame:
+    """Phases 1 and 2 for one block: (q, place, have, known) of all pairs that can be among the k best."""
+    lists = [rows.select("place", "vec_id", f"p{p}") for p in range(parts)]
+    heads = lists[0].mapInArrow(local_lists(block, 0, k, scale), "q int, place long")
+    for p in range(1, parts):
+        heads = heads.unionByName(lists[p].mapInArrow(local_lists(block, p, k, scale), "q int, place long"))
+    none = F.lit(0).cast("long")
+    known = scored(rows, heads.distinct().select("q", "place", F.lit(0).alias("have"), none.alias("known")), block, parts, scale)
+    # The k-th best per query and slice's row is at most the true one.
+    kth = known.withColumn("_n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") == k).select("q", "score").toArrow()
+    least = np.full(len(block.value.ids), -np.inf)
+    least[kth.column("q").to_numpy()] = kth.column("score").to_numpy().astype(np.float64)
+    cutoff = rows.sparkSession.sparkContext.broadcast(least)
+    found = [x.mapInArrow(entries(block, cutoff, p, parts, scale), "q int, place long, have int, share long") for p, x in enumerate(lists)]
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("q", "place").agg(F.bit_or("have").alias("have"), F.sum("share").alias("known"))
+
+
+def scored(rows: DataFrame, pairs: DataFrame, block, parts: int, scale: int) -> DataFrame:
+    met = pairs.join(rows, "place").select("q", "vec_id", "have", "known", *(f"p{p}" for p in range(parts)))
+    return met.mapInArrow(resolved(block, parts, scale), "q int, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, parts: int = PARTS, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query against all other rows."""
-    rows = materialise(quantised(vectors).withColumn("rid", F.monotonically_increasing_id()))
-    total, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_asked = asked.count()
-    q_blocks = max(1, -(-n_asked // QUERY_BLOCK))
-    q = packed(asked, QUERY_BLOCK, n_asked, "vec_id").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-    blocks = packed(rows, BLOCK, total, "rid").withColumn("width", F.lit(width)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    units = materialise(blocks.join(q, "q_block"))
-
-    lows = units.mapInPandas(least_shares, "query_id long, part int, low long").groupBy("query_id", "part").agg(F.min("low").alias("low"))
-    lows = materialise(lows)
-    heads = units.mapInPandas(largest_shares(k), "query_id long, part int, place long, share long")
-    best_of_part = W.partitionBy("query_id", "part").orderBy(F.desc("share"), "place")
-    heads = heads.withColumn("_n", F.row_number().over(best_of_part)).filter(F.col("_n") <= k).drop("_n").join(lows, ["query_id", "part"])
-    sums = heads.groupBy("query_id", "place").agg(F.sum(F.col("share") - F.col("low")).alias("at_least"))
-    kth = sums.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("at_least"), "place"))).filter(F.col("_n") == k).select("query_id", F.col("at_least").alias("total"))
-    all_lows = lows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "low"))), lambda x: x["low"]).alias("lows"))
-    # Fewer than k candidates: the cutoff 0 lets everything through.
-    cutoffs = all_lows.join(kth, "query_id", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
-    of_block = units.select("q_block", "q_ids").dropDuplicates(["q_block"]).select("q_block", F.explode("q_ids").alias("query_id")).distinct()
-    per_block = of_block.join(cutoffs, "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "lows", "total")).alias("c"))
-    per_block = per_block.select("q_block", F.transform("c", lambda x: x["query_id"]).alias("c_ids"), F.transform("c", lambda x: x["lows"]).alias("c_lows"), F.transform("c", lambda x: x["total"]).alias("c_totals"))
-    found = units.join(per_block, "q_block").mapInPandas(resolved(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows, width = sliced(vectors, parts)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for queries in query_blocks(rows, width, parts, every, scale):
+        block = spark.sparkContext.broadcast(queries)
+        ids = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries.ids), dtype=np.int32)), "query_id": pa.array(queries.ids)}))
+        best = scored(rows, collected(rows, block, parts, k, scale), block, parts, scale)
+        best = best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id")).cast("int")).filter(F.col("rank") <= k)
+        out = out.unionByName(stored(best.join(F.broadcast(ids), "q").select("query_id", "rank", "vec_id", "score")))
+    return out
 
 
 def op5(vectors: DataFrame) -> DataFrame:
