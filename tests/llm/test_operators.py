@@ -46,18 +46,34 @@ def collected(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_op2(docs):
-    texts = [(r[0], (r[1] or "").encode()) for r in rows()]
-    seen = collections.Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
+def brute_repeats(held, length):
+    texts = [(r[0], (r[1] or "").encode()) for r in held]
+    seen = collections.Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
     want = []
     for d, b in texts:
         gone = bytearray(len(b))
-        for i in range(len(b) - 199):
-            if seen[b[i : i + 200]] > 1:
-                gone[i : i + 200] = b"\1" * 200
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    assert collected(suffix.op2(docs)) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_op2(docs):
+    assert collected(suffix.op2(docs)) == brute_repeats(rows(), 200)
+
+
+@pytest.mark.parametrize(("length", "k"), [(40, 9), (23, 8), (12, 6)])
+def test_op2_other_lengths(spark, length, k):
+    """Periodic texts, few letters, strings that repeat in part only, repeated rows and null ids."""
+    rnd = random.Random(length)
+    text = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    shared = [text(rnd.randint(8, 70), "abcdefgh") for _ in range(12)]
+    held = [(i, "".join(rnd.choice(shared) + text(rnd.randint(0, 6), "xyz") for _ in range(rnd.randint(0, 9)))) for i in range(60)]
+    held += [(70, "ab" * 90), (71, "abc" * 30), (72, "a" * 100), (None, shared[0] + "é" + shared[1] * 3), (None, shared[1] * 2), held[3], held[3], (3, None)]
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    assert collected(suffix.deduplicated(df, length, k)) == brute_repeats(held, length)
 
 
 def test_op2_crowded_anchor(docs, monkeypatch):
@@ -428,6 +444,18 @@ def test_op10(docs):
         assert not (g.base_failed and g.kept)
 
 
+def test_op10_short_repeated_line_is_no_reason(spark):
+    """A short line said twice in a long text passes; a text of repeated lines, or one without function words, does not."""
+    rnd = random.Random(2)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) if i % 3 else "the" for i in range(n))
+    short, long = line(4), line(60)
+    held = [(1, f"{short}\n{line(150)}\n{short}"), (2, f"{long}\n{line(40)}\n{long}"), (3, line(150).replace("the", "xqz"))]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].n_dup_lines == 1 and got[1].n_dup_line_words == 4
+    assert "duplicate_lines" in got[2].failed_rules and got[2].n_dup_line_words == 60
+    assert got[3].failed_rules == "stop_words"
+
+
 def test_op10_slow_path(docs, monkeypatch):
     want = collected(quality.op10(docs))
     monkeypatch.setattr(quality, "PLACE_BITS", 3)

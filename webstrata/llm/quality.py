@@ -39,9 +39,9 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0),
     Rule("symbol_ratio", "n_symbols / n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words", 2, None),
+    Rule("stop_words", "n_stop_words / n_words", 0.05, None),
     Rule("alphabetic_words", "n_alpha_words / n_words", 0.6, None),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.3),
+    Rule("duplicate_lines", "n_dup_line_words / n_words", None, 0.3),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
 )
@@ -98,6 +98,10 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).when(few, let(codes, fast)).otherwise(repeat_words_by_string(words))
 
 
+def words_of(lines: Column) -> Column:
+    return F.regexp_count(F.array_join(lines, "\n"), F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def measures(text: Column) -> Column:
     """All counts of one text as a struct; words, lines and characters are each cut once."""
     t = F.coalesce(text, F.lit(""))
@@ -117,6 +121,7 @@ def measures(text: Column) -> Column:
         lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            F.when(F.size(x) > F.size(F.array_distinct(x)), words_of(x) - words_of(F.array_distinct(x))).otherwise(0).cast("long").alias("n_dup_line_words"),
             F.size(F.filter(x, lambda y: y.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
             F.size(F.filter(x, lambda y: y.rlike(r"^[\x20\x09-\x0D]*[-*•]\x20"))).cast("long").alias("n_bullet_lines"),
         ),
@@ -143,7 +148,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rul
     """``keep`` columns, the measures, ``base_failed``, ``kept`` and the names of the rules that failed."""
     # A generator evaluates the measures once, whatever later projections and filters ask of them.
     out = docs.select(*keep, F.explode(F.array(measures(F.col(text)))).alias("_m"))
-    names = ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "w.n_alpha_words", "l.n_lines", "l.n_ellipsis_lines", "l.n_bullet_lines")
+    names = ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "l.n_dup_line_words", "w.n_repeat_words", "w.n_stop_words", "w.n_alpha_words", "l.n_lines", "l.n_ellipsis_lines", "l.n_bullet_lines")
     out = out.select(*keep, *(F.col(f"_m.{n}").alias(n.split(".")[-1]) for n in names))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     failed = F.array_join(F.filter(F.array(*(F.when(~passes(r), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull()), ",")
@@ -181,6 +186,7 @@ c AS (SELECT rid, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) v(o)
 m AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
+  len(w) - coalesce(list_sum(list_transform(list_distinct(l), lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))), 0) AS n_dup_line_words,
   len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
   len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]\x20'))) AS n_bullet_lines FROM w),
 f AS (SELECT m.*, coalesce(c.n, 0) AS n_repeat_words FROM m LEFT JOIN c USING (rid)),
