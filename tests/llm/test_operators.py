@@ -393,6 +393,21 @@ def test_op8_hot_text_and_even_law(spark):
     assert shards.op8(df.limit(0)).count() == 0
 
 
+def test_op8_copies_of_one_row_and_inner_ranges(spark, docs, monkeypatch):
+    """Rows equal in all columns are cut apart; ranges cut again give the same shards."""
+    df = spark.createDataFrame([(5, "same text")] * 2000 + [(i, f"text {i}") for i in range(1000)], "doc_id long, text string").repartition(7)
+    got = shards.op8(df).collect()
+    per = collections.Counter()
+    for r in got:
+        per[r.shard] += r.size
+    assert len(got) == 3000 and len(per) == 24 and max(per.values()) - min(per.values()) <= 40
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in per)
+    want = collected(shards.op8(docs))
+    monkeypatch.setattr(shards, "RANGE_ROWS", 1)
+    monkeypatch.setattr(shards, "RANGES", 5)
+    assert collected(shards.sharded(docs, 24, 5).select("doc_id", "size", "text_crc32", F.lit("bytes"), "shard", "slot", F.lit(None))) == want
+
+
 def test_op9(docs):
     got = mix.op9(docs).collect()
     assert len(got) == len(rows())

@@ -393,7 +393,25 @@ def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return joined(docs.select("doc_id", "text"))
+    return joined(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def oracle(size: int = SIZE, percent: int = PERCENT) -> str:
+    """Every pair that shares a shingle, counted; components by transitive closure."""
+    zipped = ", ".join(f"w[{i + 1}:len(w) - {size - 1 - i}]" for i in range(size))
+    whole = " || ' ' || ".join(f"t[{i + 1}]" for i in range(size))
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(list_zip({zipped}), lambda t: {whole})) END AS s FROM w),
+c AS (SELECT s, min(rid) AS cid, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT cid, n, hash(g) AS g FROM (SELECT cid, n, unnest(s) AS g FROM c)),
+q AS (SELECT a.cid AS a, b.cid AS b FROM g a JOIN g b ON a.g = b.g AND a.cid < b.cid AND a.n * 100 >= b.n * {percent} AND b.n * 100 >= a.n * {percent} GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+p AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+r AS (SELECT cid AS a, cid AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT s.rid, s.doc_id, len(s.s) AS n, c.cid FROM s LEFT JOIN c ON s.s = c.s),
+k AS (SELECT r.a AS cid, min(m.doc_id) AS component_id FROM r JOIN m ON r.b = m.cid GROUP BY r.a)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, CASE WHEN m.n = 0 THEN m.doc_id ELSE k.component_id END AS component_id FROM m LEFT JOIN k USING (cid)
+"""
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

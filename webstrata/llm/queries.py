@@ -32,4 +32,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_uniform_threshold_topk": topk.oracle(), "op6_debruijn_dedup": debruijn.oracle(), "op9_weighted_fair_mix": mix.oracle(), "op10_quality_rules": quality.oracle()}
+    return {
+        "op1_warc_derivatives": warc.oracle(),
+        "op4_ngram_jaccard_join": jaccard.oracle(),
+        "op5_uniform_threshold_topk": topk.oracle(),
+        "op6_debruijn_dedup": debruijn.oracle(),
+        "op8_sampled_splitters": shards.oracle(),
+        "op9_weighted_fair_mix": mix.oracle(),
+        "op10_quality_rules": quality.oracle(),
+    }
