@@ -6,9 +6,11 @@ comparing around equal anchors, in the context that the strings choosing the anc
 
 1. All documents: hashes of anchors, counted; those seen once are done with (a bitmap of the rest spares the shuffle).
 2. Repeated anchors with a hash of their context, counted again. A context seen twice is repeated as a whole.
-3. Contexts seen once, whose anchor occurs in other contexts: their bytes, with one copy of each partner, are grouped by
-   anchor, and the suffix array of each anchor's contexts (linear grouping, ``gsaca``, many side by side) brings equal
-   strings together; neighbours are compared byte by byte.
+3. Contexts seen once, whose anchor occurs in other contexts. A LENGTH-byte string around an anchor has half of the other
+   bytes on its left or on its right, so contexts that share neither half with another one have no partner. The bytes
+   of the others, cut to the halves they share, with one copy of each partner, are grouped by anchor, and the suffix
+   array of each anchor's contexts (linear grouping, ``gsaca``, many side by side) brings equal strings together;
+   neighbours are compared byte by byte.
 4. Covered stretches are joined to their texts, and what is left is hashed.
 
 Scale: what is shuffled is hashes, repeated anchors, ambiguous contexts and, once, the texts for the last join. An
@@ -41,16 +43,20 @@ MOST_CONTEXTS = 5_000
 BUCKET = 3_000
 
 
-def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, context hash, and context [start, end) of every anchor of one text: the strings that choose it."""
+def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of every anchor of one text: hash, context hash, context [start, end) (the strings that choose it), place, and hashes of half the other bytes of a string to its left and its right."""
     if len(data) < length:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     roll = kernels.Rolling(kernels.byte_symbols(np.frombuffer(data, np.uint8)))
     hashes = kernels.mix(roll.all_windows(k))
     at, start, last = kernels.minimizer_runs(hashes, length - k + 1)
     end = last + length
     context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(4096) + (end - at).astype(np.uint64)))
-    return hashes[at], context, start, end
+    half = (length - k) // 2
+    # No string of the context has that many bytes on this side: nothing to share there.
+    left = np.where(at - start >= half, kernels.mix(roll.runs(np.maximum(at - half, 0), at)), context)
+    right = np.where(end - at - k >= length - k - half, kernels.mix(roll.runs(at + k, np.minimum(at + length - half, len(data)))), ~context)
+    return hashes[at], context, start, end, at, (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -66,33 +72,40 @@ def anchor_hashes(length: int, k: int):
 
 
 def occurrences(length: int, k: int, wanted, with_bytes: bool):
-    """Passes 2 and 3: anchors in the bitmap; by anchor, or by anchor and context with the context's bytes."""
+    """Passes 2 and 3: anchors in the bitmap, told by anchor; or one place of a context each, with the context's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in range(7)]
             blobs: list[bytes] = []
+            docs, hashes = batch.column(0).fill_null(-1).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint32).astype(np.uint64)
             for i, t in enumerate(texts(batch, 2)):
-                h, c, start, end = anchors(t, length, k)
-                keep = (bits.holds(words, h ^ c) if with_bytes else bits.holds_top(words, h)) if len(h) else np.empty(0, bool)
+                h, c, start, end, at, sides = anchors(t, length, k)
+                if not len(h):
+                    continue
+                spot = kernels.mix(kernels.mix(docs[i : i + 1]) ^ (hashes[i : i + 1] << np.uint64(32)) ^ start.astype(np.uint64))
+                keep = bits.holds(words, h ^ c ^ spot) if with_bytes else bits.holds_top(words, h)
                 if not keep.any():
                     continue
                 h, c, start, end = h[keep], c[keep], start[keep], end[keep]
-                for column, values in zip(rows, (np.full(len(h), i), signed(h), signed(c), start, end), strict=True):
+                for column, values in zip(rows, (np.full(len(h), i), signed(h), signed(c), start, end, signed(spot[keep]), at[keep] if with_bytes else signed(sides[keep])), strict=True):
                     column.append(values)
                 if with_bytes:
                     blobs += [t[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            i, h, c, start, end = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            i, h, c, start, end, spot, more = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
             i = pa.array(i)
-            out = [batch.column(0).take(i), batch.column(1).take(i), pa.array(h), pa.array(c), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-            names = ["doc_id", "th", "h", "c", "a", "b"]
-            yield pa.record_batch(out + [pa.array(blobs, pa.binary())] * with_bytes, names=names + ["bytes"] * with_bytes)
+            out = [batch.column(0).take(i), batch.column(1).take(i), pa.array(h), pa.array(c), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(spot)]
+            names = ["doc_id", "th", "h", "c", "a", "b", "spot"]
+            if with_bytes:
+                yield pa.record_batch([*out, pa.array(more.astype(np.int32)), pa.array(blobs, pa.binary())], names=[*names, "at", "bytes"])
+            else:
+                yield pa.record_batch([*out, pa.array(more)], names=[*names, "sides"])
 
     return run
 
 
-WHERE = "doc_id long, th int, h long, c long, a int, b int"
+WHERE = "doc_id long, th int, h long, c long, a int, b int, spot long"
 
 
 def repeated_in_bucket(length: int):
@@ -177,22 +190,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
     again = bits.repeated(docs.select("text"), anchor_hashes(length, k))
-    found = stored(keyed.mapInArrow(occurrences(length, k, again, False), WHERE))
-    contexts = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
+    found = stored(keyed.mapInArrow(occurrences(length, k, again, False), WHERE + ", sides long"))
+    # spot: the place of a context, as a hash; the smallest, so that any rerun picks the same.
+    contexts = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("spot"), F.min("sides").alias("sides"))
     anchored = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places"), F.min("n").alias("least"))
     anchored = anchored.filter("places > 1")
     # One row per context; whole: seen twice or more. Others have partners to be told apart from.
-    known = stored(contexts.join(anchored, "h").select("h", "c", "n", "kinds", "least"))
+    known = stored(contexts.join(anchored, "h").select("h", "c", "n", "spot", "sides", "kinds", "least"))
     whole = found.join(known.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "th", "a", "b")
 
-    unclear = known.filter("kinds > 1 AND least = 1").select("h", "c", "n", "kinds")
+    unclear = known.filter("kinds > 1 AND least = 1").select("h", "c", "n", "spot", "kinds", F.shiftright("sides", 32).alias("left"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"))
+    for side in ("left", "right"):
+        shared = unclear.groupBy("h", side).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("one")).filter("m > 1 AND one = 1").select("h", side, F.lit(True).alias(f"by_{side}"))
+        unclear = unclear.join(shared, ["h", side], "left")
+    unclear = unclear.filter("by_left OR by_right").select("h", "c", "n", "spot", "kinds", *(F.coalesce(f"by_{x}", F.lit(False)).alias(f"by_{x}") for x in ("left", "right")))
+    unclear = stored(unclear)
     n_unclear = unclear.count()
-    wanted = bits.bitmap(unclear, F.col("h").bitwiseXOR(F.col("c")), n_unclear)
-    held = keyed.mapInArrow(occurrences(length, k, wanted, True), WHERE + ", bytes binary").join(unclear, ["h", "c"])
-    # Contexts seen twice need one copy as a partner: the smallest place, so that any rerun picks the same.
+    wanted = bits.bitmap(unclear, F.col("h").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("spot")), n_unclear)
+    held = keyed.mapInArrow(occurrences(length, k, wanted, True), WHERE + ", at int, bytes binary").join(unclear, ["h", "c", "spot"])
+    # Only strings with the shared half can have an equal.
+    half = (length - k) // 2
+    start = F.when(F.col("by_left"), F.col("a")).otherwise(F.greatest(F.col("a"), F.col("at") - half))
+    end = F.when(F.col("by_right"), F.col("b")).otherwise(F.least(F.col("b"), F.col("at") + (length - half)))
+    held = held.select("h", "c", "doc_id", "th", start.alias("a"), F.substr("bytes", start - F.col("a") + 1, end - start).alias("bytes"), "n", "kinds")
     held = stored(held)
-    first = held.filter("n > 1").groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "a", "b", "bytes", "n", "kinds")).alias("x")).select("h", "c", "x.*")
-    held = held.filter("n = 1").select("h", "c", "doc_id", "th", "a", "b", "bytes", "n", "kinds").unionByName(first)
+    # A context seen twice is there as a partner, once: rows that agree in doc_id and text have the same place.
+    first = held.filter("n > 1").groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "a", "bytes", "n", "kinds")).alias("x")).select("h", "c", "x.*")
+    held = held.filter("n = 1").unionByName(first)
     buckets = max(1, -(-n_unclear // BUCKET))
     small = held.filter(F.col("kinds") <= MOST_CONTEXTS).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).select("bucket", "h", "doc_id", "th", "a", "n", "bytes")
     told = small.groupBy("bucket").applyInArrow(repeated_in_bucket(length), "doc_id long, th int, a int, b int")
@@ -204,23 +228,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame
     return whole.unionByName(told).unionByName(rest)
 
 
-def among(ids, batch: pa.RecordBatch) -> np.ndarray:
-    return bits.holds(ids.value, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-
+def touched(keys):
+    """(key, doc_id, text, th) of the documents whose key is in the bitmap."""
 
-def touched(ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(among(ids, batch)))
+            yield batch.filter(pa.array(bits.holds(keys.value, batch.column(0).to_numpy().view(np.uint64))))
 
     return run
 
 
-def untouched_digests(ids):
+def untouched_digests(keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~among(ids, batch)))
-            yield from digest([pa.record_batch([rest.column(0), rest.column(1), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
+            rest = batch.filter(pa.array(~bits.holds(keys.value, batch.column(0).to_numpy().view(np.uint64))))
+            yield from digest([pa.record_batch([rest.column(1), rest.column(2), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
 
     return run
 
@@ -231,11 +253,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; only texts that may have spans are shuffled to meet them."""
     spans = stored(repeats(docs, length, k).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    ids = bits.bitmap(spans, F.coalesce("_d", F.lit(0).cast("long")), spans.count())
+    keys = bits.bitmap(spans, F.xxhash64("_d", "_h"), spans.count())
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
-    may = keyed.mapInArrow(touched(ids), "doc_id long, text string, th int")
+    keyed = keyed.select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "text", "th")
+    may = keyed.mapInArrow(touched(keys), "key long, doc_id long, text string, th int")
     met = may.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(digest, RESULT).unionByName(keyed.select("doc_id", "text").mapInArrow(untouched_digests(ids), RESULT))
+    return met.mapInArrow(digest, RESULT).unionByName(keyed.mapInArrow(untouched_digests(keys), RESULT))
 
 
 def op2(docs: DataFrame) -> DataFrame:
