@@ -1,8 +1,8 @@
 """A bitmap of hashes with a fixed upper size, built by Spark and sent to all tasks.
 
 It lets a pass skip what can't matter before anything is shuffled. It never decides a result: false positives drop out
-in the join that follows. Its size follows the number of entries up to ``MOST`` bits (64 MB); beyond, it only gets
-less selective.
+in the join that follows. Its size follows the number of entries up to ``MOST`` bits (64 MB). Where these would be
+filled by more than a third, hardly anything could be skipped: then no bits are gathered, and everything passes.
 """
 
 from __future__ import annotations
@@ -16,10 +16,23 @@ from pyspark.sql import functions as F
 from webstrata.session import stored
 
 LEAST, MOST = 1 << 16, 1 << 29
+#: Leading digits of a hash that name its bucket, at most: a million buckets.
+BUCKET_DIGITS = 20
+
+
+def crowded(entries: int) -> bool:
+    return entries > MOST // 3
+
+
+def everything(power: int = 0) -> np.ndarray:
+    """A bitmap that all hashes are in."""
+    return np.full(max(LEAST, 8 << power) // 64, ~np.uint64(0))
 
 
 def bitmap(rows: DataFrame, key: Column, entries: int) -> Broadcast:
     """Bits at the low digits of ``key`` (a mixed 64-bit hash) of every row, 16 bits an entry while that fits."""
+    if crowded(entries):
+        return rows.sparkSession.sparkContext.broadcast(everything())
     bits = min(MOST, max(LEAST, 1 << (16 * max(entries, 1) - 1).bit_length()))
     at = key.bitwiseAND(F.lit(bits - 1))
     words = rows.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
@@ -47,9 +60,11 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def buckets(rows: DataFrame) -> int:
-    """Leading digits of a hash that name its bucket: some four buckets a task."""
-    parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism)
-    return min(14, max(5, (4 * parts - 1).bit_length()))
+    """Leading digits of a hash that name its bucket: some four for every 32 MB of ``rows``, so that a bucket stays small."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    # Spark takes a table of unknown size for an enormous one.
+    parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism, (size >> 25) if size < 1 << 55 else 0)
+    return min(BUCKET_DIGITS, max(5, (4 * parts - 1).bit_length()))
 
 
 def repeated(rows: DataFrame, hashes) -> Broadcast:
@@ -70,9 +85,9 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
             v = np.repeat(v, np.minimum(n, 2))
             bucket = (v >> np.uint64(64 - power)).astype(np.int32)
             low = (v << np.uint64(power)) >> np.uint64(24)
-            cuts = np.searchsorted(bucket, np.arange((1 << power) + 1))
-            some = [b for b in range(1 << power) if cuts[b] < cuts[b + 1]]
-            return pa.record_batch([pa.array(some, pa.int32()), pa.array([_packed(low[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], names=["bucket", "v"])
+            some, first = np.unique(bucket, return_index=True)
+            ends = np.append(first[1:], len(bucket))
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array([_packed(low[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["bucket", "v"])
 
         size = 0
         for batch in batches:
@@ -90,6 +105,8 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
 
     found = stored(rows.mapInArrow(deal, "bucket int, v binary").groupBy("bucket").applyInArrow(meet, "bucket int, n long, v binary"))
     total = found.agg(F.sum("n")).first()[0] or 0
+    if crowded(total):
+        return rows.sparkSession.sparkContext.broadcast(everything(power).view(np.uint8))
     # Every bucket has a byte at least.
     digits = max(power + 3, min(MOST, max(LEAST, 1 << (16 * max(total, 1) - 1).bit_length())).bit_length() - 1)
 
