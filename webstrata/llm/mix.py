@@ -5,12 +5,12 @@ divided by the source's target. Occurrences of all sources are then taken in ord
 sizes together) is used up. A source whose target is above its size comes round again, ``cap`` times at most.
 
 Scale: running sums are two-level (sums of hash ranges, then within a range), so no source, however hot, meets in one
-task; the global order is cut by the sums of finish-time ranges, and only the range in which the budget ends is
-ordered exactly. What reaches the driver is one row of scalars at a time.
+task; the global order is cut by the sums of steps of finish time, and the step in which the budget ends is cut again
+until few rows are left to order one by one. What reaches the driver is ``STEPS`` sums at a time.
 
 Defined results: null text has size 0; a document of size 0 is taken 0 words; null sources form one source, last in
-order; repeated rows are separate documents; ties in shuffled order fall to doc_id, then size; an empty table gives an
-empty result. Input columns other than doc_id, text and source are not read by ``mixed``.
+order; repeated rows are separate documents; the shuffle goes by doc_id, or by the text where that is null; ties in it
+fall to doc_id, then size; an empty table gives an empty result. Input columns other than doc_id, text and source are not read by ``mixed``.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from webstrata.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
-#: Hash ranges of a source, and steps of finish time per unit.
 HASH_RANGES_HEX = 3
+#: Steps that a stretch of finish times is cut into, and the rows below which it is ordered as it is.
 STEPS = 4096
+FEW = 50_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -58,7 +59,7 @@ def finish_times(cap: int) -> Column:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, rounds (times the document is taken), and the ``extra`` columns."""
-    shuffle_key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    shuffle_key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))))
     rows = docs.select("doc_id", "source", *extra, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), shuffle_key.alias("u"))
     rows = materialise(rows.withColumn("size", F.coalesce("size", F.lit(0).cast("long"))).withColumn("part", F.substring("u", 1, HASH_RANGES_HEX)))
     key = ["source", "part"]
@@ -85,22 +86,30 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, s
 def cutoff(queue: DataFrame, cap: int) -> tuple | None:
     """Key of the last occurrence the budget admits, in order of (finish time, shuffle key, doc_id, round)."""
     occurrences = queue.filter("size > 0 AND target > 0").select("size", "u", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"), F.explode(finish_times(cap)).alias("f"))
-    occurrences = occurrences.select("size", "u", "doc_id", "f.at", "f.round", F.least(F.floor(F.col("f.at") * STEPS), F.lit(cap * STEPS * 4)).alias("step"))
-    steps = occurrences.groupBy("step").agg(F.sum("size").alias("step_size"))
-    cum = W.orderBy("step")
-    steps = steps.withColumn("upto", F.sum("step_size").over(cum))
+    occurrences = occurrences.select("size", "u", "doc_id", "f.at", "f.round")
+    key = F.struct("at", "u", "doc_id", "round")
     budget = queue.agg(F.sum("size")).first()[0] or 0
-    row = steps.filter(F.col("upto") > F.lit(budget)).orderBy("step").limit(1).collect()
-    if row:
-        inside, before = row[0]["step"], row[0]["upto"] - row[0]["step_size"]
-        # A 1/4096 of a unit of finish time: the only rows that are ordered one by one.
-        ranked = occurrences.filter(F.col("step") == inside).withColumn("run", F.sum("size").over(W.orderBy("at", "u", "doc_id", "round").rowsBetween(W.unboundedPreceding, 0)))
-        fit = ranked.filter(F.col("run") + F.lit(before) <= F.lit(budget))
-        best = fit.agg(F.max(F.struct("at", "u", "doc_id", "round")).alias("m")).first()["m"]
-        if best is None:
-            best = occurrences.filter(F.col("step") < inside).agg(F.max(F.struct("at", "u", "doc_id", "round")).alias("m")).first()["m"]
-    else:
-        best = occurrences.agg(F.max(F.struct("at", "u", "doc_id", "round")).alias("m")).first()["m"]
+    inside, before = occurrences, 0
+    while True:
+        low, high, n = inside.agg(F.min("at"), F.max("at"), F.count(F.lit(1))).first()
+        if not n or n <= FEW or low == high:
+            break
+        step = F.least(F.floor((F.col("at") - F.lit(low)) / F.lit((high - low) / STEPS)), F.lit(STEPS - 1))
+        sums = inside.groupBy(step.alias("step")).agg(F.sum("size").alias("step_size"), F.max(key).alias("last")).orderBy("step").collect()
+        fits, full = None, None
+        for r in sums:
+            if before + r["step_size"] > budget:
+                full = r["step"]
+                break
+            before, fits = before + r["step_size"], r["last"]
+        if full is None:
+            return tuple(fits)
+        inside = inside.filter(step == full)
+    # Few rows, or ties, of which each source has one a round.
+    ranked = inside.withColumn("run", F.sum("size").over(W.orderBy("at", "u", "doc_id", "round").rowsBetween(W.unboundedPreceding, 0)))
+    best = ranked.filter(F.col("run") + F.lit(before) <= F.lit(budget)).agg(F.max(key).alias("m")).first()["m"]
+    if best is None and low is not None:
+        best = occurrences.filter(F.col("at") < F.lit(low)).agg(F.max(key).alias("m")).first()["m"]
     return tuple(best) if best is not None else None
 
 
@@ -125,7 +134,7 @@ def repeat_taken(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     return rf"""
-WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u FROM documents),
+WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
 k AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS LAST) AS rn, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev, row_number() OVER (ORDER BY cap / w, rn) AS o FROM k),
