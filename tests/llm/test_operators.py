@@ -273,6 +273,15 @@ def test_repeated_in_more_buckets_than_bytes(spark, monkeypatch):
     assert bits.holds_top(found, seen[:50]).all() and bits.holds_top(found, seen[50:]).sum() < 50
 
 
+def test_crowded_bitmaps_pass_everything(spark, docs, monkeypatch):
+    """Beyond their size bitmaps fall away, and results stay as they are."""
+    want = [collected(op(docs)) for op in (suffix.op2, debruijn.op6)]
+    monkeypatch.setattr(bits, "MOST", 3)
+    hashes = np.random.default_rng(1).integers(0, 2**63, 100, dtype=np.uint64)
+    assert bits.holds(bits.bitmap(docs, F.xxhash64("doc_id"), 50).value, hashes).all()
+    assert [collected(op(docs)) for op in (suffix.op2, debruijn.op6)] == want
+
+
 def test_op5(spark):
     rnd = np.random.default_rng(4)
     v = [(i, [float(np.float32(x)) for x in rnd.normal(size=7)]) for i in range(0, 260, 5)] + [(3, [0.5] * 7), (4, [0.5] * 7), (8, [0.5] * 4), (7, None), (9, [1.0, None] + [0.0] * 5), (11, [float("nan")] * 7), (12, [float("inf")] * 7), (13, []), (None, [1.0] * 7), (50, v2 := [9.0] * 7)]
@@ -366,6 +375,19 @@ def test_op7(docs):
     assert len(got) == len(rows()) and all(r.round_trip for r in got)
 
 
+def test_op7_memory_is_bounded_in_bytes(monkeypatch):
+    """Lines without a space are segments of any length: what is remembered stays within its bytes, and results stay."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 200_000)
+    lat = pieces.Lattice(pieces.MODEL)
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("日本語中国abc") for _ in range(n)) for n in [5, 20, 30] * 200 + [20_000]]
+    for t in lines:
+        assert lat.decode(lat.encode(t)) == t
+        assert all(sum(400 + 4 * len(k) + len(v[0]) for k, v in d.items()) <= 200_000 for d in (lat.best, lat.older))
+    fresh = pieces.Lattice(pieces.MODEL)
+    assert all(fresh.encode(t) == lat.encode(t) for t in lines[:50])
+
+
 def test_op8(docs):
     got = shards.op8(docs).collect()
     assert len(got) == len(rows())
@@ -443,6 +465,15 @@ def test_op9(docs):
     assert mix.op9(docs.limit(0)).count() == 0
 
 
+def test_op9_cutoff_in_small_steps(spark, docs, monkeypatch):
+    """Cut again and again down to single rows, the budget ends at the same document; null ids with many texts too."""
+    nulls = spark.createDataFrame([(None if i % 2 else i, f"w {i} " * (i % 9), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string").repartition(3)
+    want = [collected(mix.op9(d)) for d in (docs, nulls)]
+    monkeypatch.setattr(mix, "STEPS", 3)
+    monkeypatch.setattr(mix, "FEW", 1)
+    assert [collected(mix.op9(d)) for d in (docs, nulls)] == want
+
+
 def test_op10(docs):
     got = {(r.doc_id, r.n_words, r.word_chars): r for r in quality.op10(docs).collect()}
     for r in rows():

@@ -6,9 +6,14 @@ best score of every prefix. A backward A* then starts at the segment's end with
 n best of a text come from the same search over its segments: the n - 1 smallest losses decide which segments may leave
 their best path, and a queue over their own n-best lists yields the sums in order.
 
-The vocabulary (a SentencePiece model file) is a parameter and is read where the tasks run; it is never copied.
+The vocabulary (a SentencePiece model file) is a parameter and is read where the tasks run; it is never copied. Pieces
+are weighed by the scores in the file. In a BPE model these are ranks of merges: the best path over them is the best of
+the lattice, as defined here, and need not be the sequence that merging by rank would give.
 Characters without a piece fall back to byte pieces, at the lowest score of the vocabulary less 10.
 
+Scale: documents are encoded one by one, without a shuffle. A worker remembers the segments it has solved up to
+``REMEMBERED`` bytes a generation, whatever their lengths; single segments above a thousandth of that aren't kept.
+
 Defined results: a null text encodes like an empty one, to no pieces, with score 0 and one segmentation; ties prefer
 the piece that starts first (the longer last piece), then fewer changes; repeated rows repeat; very long runs without a
 space are one segment, handled in time linear in their length; an empty table gives an empty result; columns other than
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments remembered by a Python worker, in each of two generations, so memory stays bounded.
-REMEMBERED = 300_000
+#: Bytes of segments that a Python worker remembers, about, in each of two generations.
+REMEMBERED = 96 << 20
 SPACE = "▁"
 
 
@@ -58,6 +63,7 @@ class Lattice:
         self.cut = re.compile(rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall if splits else (lambda s: [s] if s else [])
         self.best: dict[str, tuple[bytes, float, float, int]] = {}
         self.older: dict[str, tuple[bytes, float, float, int]] = {}
+        self.held = 0
         self.trie: dict[str, list] = {}
         for p, i in self.ids.items():
             node: list = [None, self.trie]
@@ -99,8 +105,13 @@ class Lattice:
         got = self.best.get(s)
         if got is None:
             got = self.older.get(s) or self.solve(s)
-            if len(self.best) >= REMEMBERED:
-                self.older, self.best = self.best, {}
+            # A string, its ids, two numbers, and their places in the dictionary.
+            size = 400 + 4 * len(s) + len(got[0])
+            if size > REMEMBERED // 1000:
+                return got
+            self.held += size
+            if self.held > REMEMBERED:
+                self.older, self.best, self.held = self.best, {}, size
             self.best[s] = got
         return got
 
