@@ -61,7 +61,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def buckets(rows: DataFrame) -> int:
     """Leading digits of a hash that name its bucket: some four for every 32 MB of ``rows``, so that a bucket stays small."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # Spark takes a table of unknown size for an enormous one.
     parts = max(len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism, (size >> 25) if size < 1 << 55 else 0)
     return min(BUCKET_DIGITS, max(5, (4 * parts - 1).bit_length()))
