@@ -86,7 +86,7 @@ def repeated(rows: DataFrame, hashes) -> Broadcast:
             bucket = (v >> np.uint64(64 - power)).astype(np.int32)
             low = (v << np.uint64(power)) >> np.uint64(24)
             some, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(bucket))
+            ends = np.append(first, len(bucket))[1:]
             return pa.record_batch([pa.array(some, pa.int32()), pa.array([_packed(low[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["bucket", "v"])
 
         size = 0
