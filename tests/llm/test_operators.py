@@ -332,25 +332,26 @@ def test_op5_blocks_and_cutoff(spark, monkeypatch):
     assert collected(topk.op5(df)) == want
 
 
-def test_op6(docs):
+@pytest.mark.parametrize(("window", "k"), [(13, 6), (20, 6), (40, 6), (3, 3), (1, 1)])
+def test_op6(docs, window, k):
     first = {}
     for r in rows():
         if r[0] is not None:
             w = WORD.findall(r[1] or "")
-            for i in range(len(w) - 12):
-                k = tuple(w[i : i + 13])
-                first[k] = min(first.get(k, r[0]), r[0])
+            for i in range(len(w) - window + 1):
+                x = tuple(w[i : i + window])
+                first[x] = min(first.get(x, r[0]), r[0])
     want = []
     for r in rows():
         w = WORD.findall(r[1] or "")
         gone = set()
         if r[0] is not None:
-            for i in range(len(w) - 12):
-                if first[tuple(w[i : i + 13])] < r[0]:
-                    gone |= set(range(i, i + 13))
+            for i in range(len(w) - window + 1):
+                if first[tuple(w[i : i + window])] < r[0]:
+                    gone |= set(range(i, i + window))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((r[0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    assert collected(debruijn.op6(docs)) == sorted(want, key=repr)
+    assert collected(debruijn.deduplicated(docs, window, k)) == sorted(want, key=repr)
 
 
 def test_op7(docs):

@@ -57,7 +57,7 @@ def anchors(data: bytes, window: int, k: int) -> tuple[kernels.Rolling | None, n
     hashes = kernels.mix(roll.all_windows(k))
     at = kernels.minimizers(hashes, window - k + 1)
     start, end = np.maximum(at - (window - k), 0), np.minimum(at + window, n)
-    context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(256) + (end - at).astype(np.uint64)))
+    context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(1 << 32) + (end - at).astype(np.uint64)))
     return roll, at, hashes[at], context, n
 
 
@@ -65,36 +65,31 @@ def anchor_hashes(window: int, k: int):
     return lambda batch: np.concatenate([np.empty(0, np.uint64), *(anchors(t, window, k)[2] for t in texts(batch, 0))])
 
 
-def packed(th: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Text hash (32 bits), first word (27) and number of words (5) in one number, to keep rows narrow."""
-    return (th.astype(np.int64) << 32) | (a << 5) | (b - a)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.shiftright("spot", 32).cast("int").alias("th"), F.shiftright(F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)), 5).cast("int").alias("a"), F.col("spot").bitwiseAND(F.lit(31)).cast("int").alias("n")).select("doc_id", "th", "a", (F.col("a") + F.col("n")).alias("b"))
-
-
 def occurrences(window: int, k: int, wanted):
-    """Anchors in the bitmap: (doc_id, anchor, context, where)."""
+    """Anchors in the bitmap: (doc_id, text hash, anchor, context, first word, word after the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            th = batch.column(1).to_numpy()
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for i, t in enumerate(texts(batch, 2)):
                 _, at, h, c, n = anchors(t, window, k)
                 keep = bits.holds_top(wanted.value, h) if len(at) else np.empty(0, bool)
                 if keep.any():
                     at = at[keep]
-                    spot = packed(th[i : i + 1], np.maximum(at - (window - k), 0), np.minimum(at + window, n))
-                    for column, values in zip(rows, (np.full(len(at), i), signed(h[keep]), signed(c[keep]), spot), strict=True):
+                    for column, values in zip(rows, (np.full(len(at), i), signed(h[keep]), signed(c[keep]), np.maximum(at - (window - k), 0), np.minimum(at + window, n)), strict=True):
                         column.append(values)
-            i, h, c, spot = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(i)), pa.array(h), pa.array(c), pa.array(spot)], names=["doc_id", "h", "c", "spot"])
+            i, h, c, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield placed(batch, i, [h, c], a, b, ["h", "c"])
 
     return run
 
 
+def placed(batch: pa.RecordBatch, i: np.ndarray, hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Rows of documents ``i`` of a batch, with hashes and the words [a, b) they stand for."""
+    at = pa.array(i)
+    return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, hashes), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "th", *names, "a", "b"])
+
+
 def head_edges(t: bytes, doc_id: int, window: int, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the edges of a document's branching contexts that it is the first to have."""
     roll, at, h, c, n = anchors(t, window, k)
@@ -122,15 +117,15 @@ def branching_edges(window: int, k: int, heads, again):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], []]
             for i, t in enumerate(texts(batch, 2)):
                 e, at = head_edges(t, ids[i], window, k, heads.value)
                 keep = bits.holds_top(again.value, e)
-                for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(e[keep]), packed(th[i : i + 1], at[keep], at[keep] + window)), strict=True):
+                for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(e[keep]), at[keep]), strict=True):
                     column.append(values)
-            i, e, spot = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield pa.record_batch([batch.column(0).take(pa.array(i)), pa.array(e), pa.array(spot)], names=["doc_id", "e", "spot"])
+            i, e, a = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield placed(batch, i, [e], a, a + window, ["e"])
 
     return run
 
@@ -139,19 +134,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     """(doc_id, th, a, b): stretches of words covered by edges that a document with a smaller doc_id has too."""
     keyed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
     again = bits.repeated(keyed.select("text"), anchor_hashes(window, k))
-    found = stored(keyed.mapInArrow(occurrences(window, k, again), "doc_id long, h long, c long, spot long"))
+    found = stored(keyed.mapInArrow(occurrences(window, k, again), "doc_id long, th int, h long, c long, a int, b int"))
     paths = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     # Compacted paths: everything after the first document goes, with all edges of the context.
     shared = paths.filter("first < last").select("h", "c", "first")
-    whole = spread(found.join(shared, ["h", "c"]).filter("doc_id > first"))
+    whole = found.join(shared, ["h", "c"]).filter("doc_id > first").select("doc_id", "th", "a", "b")
 
     forks = paths.groupBy("h").agg((F.min("c") != F.max("c")).alias("forks"), F.min("first").alias("lo"), F.max("last").alias("hi")).filter("forks AND lo < hi").select("h")
     first = stored(paths.join(forks, "h").select("h", "c", "first"))
     heads = bits.bitmap(first, F.col("h").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first")), first.count())
     again = bits.repeated(keyed, edge_hashes(window, k, heads))
-    edges = stored(keyed.mapInArrow(branching_edges(window, k, heads, again), "doc_id long, e long, spot long"))
+    edges = stored(keyed.mapInArrow(branching_edges(window, k, heads, again), "doc_id long, th int, e long, a int, b int"))
     met = edges.groupBy("e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("e", "first")
-    apart = spread(edges.join(met, "e").filter("doc_id > first"))
+    apart = edges.join(met, "e").filter("doc_id > first").select("doc_id", "th", "a", "b")
     return whole.unionByName(apart)
 
 
@@ -170,25 +165,21 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def among(ids, batch: pa.RecordBatch) -> np.ndarray:
-    """Which documents' ids are in the bitmap; null ids are not."""
-    doc = batch.column(0)
-    return bits.holds(ids.value, doc.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & doc.is_valid().to_numpy(zero_copy_only=False)
+def touched(keys):
+    """(key, doc_id, text, th) of the documents whose key is in the bitmap."""
 
-
-def touched(ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(among(ids, batch)))
+            yield batch.filter(pa.array(bits.holds(keys.value, batch.column(0).to_numpy().view(np.uint64))))
 
     return run
 
 
-def untouched_digests(ids):
+def untouched_digests(keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~among(ids, batch)))
-            yield from digest([pa.record_batch([rest.column(0), rest.column(1), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
+            rest = batch.filter(pa.array(~bits.holds(keys.value, batch.column(0).to_numpy().view(np.uint64))))
+            yield from digest([pa.record_batch([rest.column(1), rest.column(2), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
 
     return run
 
@@ -197,13 +188,19 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document; only texts that may have spans are shuffled to meet them."""
+    """doc_id, n_words, n_removed, kept_sha256 of every document; only texts that may have spans are shuffled to meet them.
+
+    ``window`` is any number of words from k on.
+    """
+    if not 1 <= k <= window:
+        raise ValueError(f"a window of {window} words holds no piece of {k}")
     small_batches(docs.sparkSession)
     spans = stored(repeats(docs, window, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    ids = bits.bitmap(spans, F.col("doc_id"), spans.count())
+    keys = bits.bitmap(spans, F.xxhash64("doc_id", "th"), spans.count())
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
-    met = keyed.mapInArrow(touched(ids), "doc_id long, text string, th int").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(digest, RESULT).unionByName(keyed.select("doc_id", "text").mapInArrow(untouched_digests(ids), RESULT))
+    keyed = keyed.select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "text", "th")
+    met = keyed.mapInArrow(touched(keys), "key long, doc_id long, text string, th int").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    return met.mapInArrow(digest, RESULT).unionByName(keyed.mapInArrow(untouched_digests(keys), RESULT))
 
 
 def op6(docs: DataFrame) -> DataFrame:
