@@ -59,9 +59,16 @@ def host(D, url: str) -> str:
 
 
 def pathname(D, url: str) -> str:
-    """Path of a URL, dot segments removed; '' where it is no URL."""
-    p = D.ext(url, URL_PATH)
-    return p
+    """Path of a URL as it stands (``dot_free`` takes dot segments out); '' where it is no URL."""
+    return D.ext(url, URL_PATH)
+
+
+def dot_free(D, path: str) -> str:
+    """An absolute path without empty and dot segments, nor a slash at its end; '..' never leads above the root."""
+    step = lambda a, x: f"case when {x} in ('', '.') then {a} when {x} = '..' then {D.rep(a, '/[^/]*$', '')} else concat({a}, '/', {x}) end"
+    if D.__name__ == "Spark":
+        return f"aggregate(split({path}, '/'), '', (a, x) -> {step('a', 'x')})"
+    return f"list_reduce(list_prepend('', string_split({path}, '/')), lambda a, x: {step('a', 'x')})"
 
 
 def page_path(D, url: str) -> str:
@@ -108,8 +115,8 @@ def attribute(D, attrs: str, name: str) -> str:
 
 
 def loose_attribute(D, attrs: str, name: str) -> str:
-    """An attribute quoted either way or bare, by its whole name; '' if absent."""
-    pattern = rf"(?i)(?:^|[^\w:-]){name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+    """An attribute quoted either way or bare, by its whole name, the last where it is repeated; '' if absent."""
+    pattern = rf"(?is)(?:^|.*[^\w:-]){name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
     return f"concat({', '.join('coalesce(' + D.ext(attrs, pattern, g) + ', ' + chr(39) * 2 + ')' for g in (1, 2, 3))})"
 
 
