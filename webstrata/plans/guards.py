@@ -73,7 +73,7 @@ def edit_columns() -> dict[str, str]:
     nothing = " and ".join(f"{c} is null" for c in EDIT_NAMES[1:5])
     status = f"case when {nothing} then 400 when {bad} then 400 else 200 end"
     only = lambda e: f"case when {status} = 200 then {e} end"
-    return {"id": "id", "status": status, "rate_limit": only(number("rate_limit")), "max_depth": only(number("max_depth")), "screenshot": only("screenshot = 'true'"), "download_images": only("download_images = 'true'")}
+    return {"id": "id", "status": status, "rate_limit": only(number("rate_limit")), "max_depth": only(number("max_depth")), "screenshot": "coalesce(screenshot = 'true', false)", "download_images": "coalesce(download_images = 'true', false)"}
 
 
 @query("job_edits", f"SELECT {chosen(edit_columns())} FROM {corpus.values(EDITS)} t({', '.join(EDIT_NAMES)})")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import access, assets, content, crawl, dashboard, documents, findings, graph, guards, rating  # noqa: F401  (they enter their queries)
+from webstrata.plans import access, assets, content, crawl, dashboard, documents, findings, graph, guards, rating, views  # noqa: F401  (they enter their queries)
 from webstrata.plans.catalog import CATALOG
 
 FLAGSHIP = "consistency_report"
