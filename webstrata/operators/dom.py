@@ -13,6 +13,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: A tag on the left is closed by one on the right.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
+#: Elements that a paragraph outside of them doesn't end in.
+SCOPE = frozenset("applet body button caption html marquee object table td template th #root".split())
+
 
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -54,6 +57,13 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while tag in CLOSED_BY.get(self.at.tag, ()):
             self.at = self.at.parent
+        if tag in CLOSED_BY["p"]:
+            # A paragraph also ends where a tag inside it, left open, stands between.
+            n = self.at
+            while n.parent and n.tag not in SCOPE and n.tag != "p":
+                n = n.parent
+            if n.tag == "p":
+                self.at = n.parent
         found: dict[str, str] = {}
         for k, v in attrs:
             found.setdefault(k, v or "")

@@ -19,7 +19,15 @@ PAGES = [
     ("https://s.example/p/index.html", '<link rel="stylesheet" href="/css/main.css?v=2"><link rel="canonical" href="/x"><link rel="icon" href="fav.ico"><img src="img/Photo One.png" srcset="img/a.png 1x, https://cdn.example/b.png 2x"><script src="https://cdn.example/app.js"></script><video poster="/v.jpg" src="data:video/mp4"></video><div style="background:url(\'/bg.png\')"></div><iframe src="/no.html"></iframe>'),
     ("https://s.example/q", '<img src="//cdn.example/c.webp"><img src="img/Photo One.png"><style>a{background:url(#frag)} b{background:url( "d/e.svg" )}</style>'),
 ]
-P = f"apage AS (SELECT * FROM {corpus.values(PAGES)} t(url, html))"
+P = f"apage AS (SELECT url, html FROM pages UNION ALL SELECT * FROM {corpus.values(PAGES)} t(url, html))"
+
+
+def pages_with_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured pages, and two made-up ones with what these lack."""
+    return table(spark, sf_dir, "pages").select("url", "html").union(spark.createDataFrame(PAGES, "url string, html string"))
+
+
+# Where assets are named.
 EXTRACTORS = [r"(?i)<(?:img|script|source|video|audio|embed)\b[^>]*?\ssrc\s*=\s*\x22([^\x22]+)\x22", r"(?i)<video\b[^>]*?\sposter\s*=\s*\x22([^\x22]+)\x22", r"(?i)url\(\s*[\x27\x22]?([^\x27\x22)]+)[\x27\x22]?\s*\)"]
 SRCSET = r"(?i)\ssrcset\s*=\s*\x22([^\x22]+)\x22"
 STYLED = r"stylesheet|icon|preload|apple-touch"
@@ -52,7 +60,7 @@ _KEPT = "raw <> '' and not {d} and not {h}"
 @query("asset_refs", f"WITH {P}, r AS (SELECT DISTINCT url, unnest({_refs(Duck)}) AS raw FROM apage) SELECT url, raw, {resolve(Duck, 'raw', 'url')} AS target FROM r WHERE {_KEPT.format(d=Duck.like('raw', '^data:'), h=Duck.like('raw', '^#'))}")
 def asset_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page loads, each reference once."""
-    p = spark.createDataFrame(PAGES, "url string, html string")
+    p = pages_with_assets(spark, sf_dir)
     r = p.select("url", F.explode(F.expr(_refs(Spark))).alias("raw")).distinct().filter(F.expr(_KEPT.format(d=Spark.like("raw", "^data:"), h=Spark.like("raw", "^#"))))
     return r.select("url", "raw", F.expr(resolve(Spark, "raw", "url")).alias("target"))
 
@@ -100,7 +108,7 @@ def _image(D) -> str:
 
 @query("image_names", f"WITH {P} SELECT DISTINCT src, {_image(Duck)} AS name FROM (SELECT unnest({Duck.every('html', EXTRACTORS[0])}) AS src FROM apage) WHERE regexp_matches(src, '^https?://')")
 def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(PAGES, "url string, html string")
+    p = pages_with_assets(spark, sf_dir)
     return p.select(F.explode(F.expr(Spark.every("html", EXTRACTORS[0]))).alias("src")).filter(F.col("src").rlike("^https?://")).distinct().select("src", F.expr(_image(Spark)).alias("name"))
 
 
@@ -139,28 +147,54 @@ def output_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("url", F.concat(F.lit("output/"), F.when(host == "", "unknown").otherwise(host), F.lit("/2026-08-01")).alias("folder"))
 
 
+# What a rewritten page may load, and the hints that would reach out before that.
+POLICY = "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'self' data: blob: 'unsafe-inline' 'unsafe-eval'; img-src 'self' data: blob:; media-src 'self' data: blob:; font-src 'self' data:; style-src 'self' data: 'unsafe-inline'; script-src 'self' data: 'unsafe-inline' 'unsafe-eval'; connect-src 'none'; frame-src 'none'; form-action 'none'\">"
+HINTS = r"(?i)<link\b[^>]*rel\s*=\s*\x22(?:preconnect|dns-prefetch|prefetch|prerender)\x22[^>]*>"
+HEAD = r"(?i)(<head[^>]*>)"
+#: What the fetches of the made-up pages' assets recorded; others came without a type.
+TYPES = [("https://cdn.example/c.webp", "image/webp"), ("https://s.example/d/e.svg", "image/svg+xml; charset=utf-8")]
+
+
 def offline(html: str, names: dict[str, str]) -> str:
-    """References replaced by local names, longest first; scripts' policies and connection hints taken out."""
-    html = re.sub(r"(?i)<link\b[^>]*rel\s*=\s*\"(?:preconnect|dns-prefetch|preload|modulepreload)\"[^>]*>", "", html)
-    for raw in sorted(names, key=len, reverse=True):
-        html = re.sub(rf"(?<![\w/.-]){re.escape(raw)}(?![\w/.-])", names[raw].replace("\\", r"\\"), html)
-    policy = '<meta http-equiv="Content-Security-Policy" content="default-src \'self\' data: \'unsafe-inline\'">'
-    return re.sub(r"(?i)(<head[^>]*>)", lambda m: m[1] + policy, html, count=1) if re.search(r"(?i)<head[\s>]", html) else policy + html
+    """References replaced where they are a whole value, longest first; a policy first in the head; hints taken out."""
+    for raw in sorted(names, key=lambda r: (-len(r), r)):
+        whole = re.compile(rf"(?<=[\x22\x27(,\s]){re.escape(raw)}(?=[\x22\x27)\s,>])")
+        html = whole.sub(lambda _, to=names[raw]: to, html)
+    headed, n = re.subn(HEAD, lambda m: f"{m[1]}\n{POLICY}", html, count=1)
+    return re.sub(HINTS, "", headed if n else f"{POLICY}\n{html}")
+
+
+def _local(D) -> str:
+    return f"concat('_assets/', {_name(D)})"
+
+
+_ESCAPED = r"regexp_replace(raw, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')"
 
 
-@query("offline_rewrite", None)
+@query(
+    "offline_rewrite",
+    rf"""WITH RECURSIVE {P}, r AS (SELECT DISTINCT url, unnest({_refs(Duck)}) AS raw FROM apage), k AS (SELECT url AS page, raw, {resolve(Duck, 'raw', 'url')} AS url FROM r WHERE {_KEPT.format(d=Duck.like('raw', '^data:'), h=Duck.like('raw', '^#'))}),
+m AS (SELECT page, raw, {_local(Duck)} AS local, row_number() OVER (PARTITION BY page ORDER BY length(raw) DESC, raw) AS i FROM (SELECT k.*, coalesce(t.content_type, '') AS content_type FROM k LEFT JOIN {corpus.values(TYPES)} t(url, content_type) USING (url))),
+w AS (SELECT url, html, 0 AS i FROM apage UNION ALL SELECT w.url, regexp_replace(w.html, concat('([\x22\x27(,\s])', {_ESCAPED}, '([\x22\x27)\s,>])'), concat('\1', m.local, '\2'), 'g'), w.i + 1 FROM w JOIN m ON m.page = w.url AND m.i = w.i + 1),
+z AS (SELECT url, arg_max(html, i) AS html FROM w GROUP BY url)
+SELECT url, regexp_replace(CASE WHEN regexp_matches(html, '{HEAD}') THEN regexp_replace(html, '{HEAD}', concat('\1', chr(10), '{POLICY.replace("'", "''")}')) ELSE concat('{POLICY.replace("'", "''")}', chr(10), html) END, '{HINTS}', '', 'g') AS html FROM z""",
+)
 def offline_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = asset_refs(spark, sf_dir).join(asset_names_of(asset_refs(spark, sf_dir)), "target").groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("raw", F.concat(F.lit("_assets/"), "name")))).alias("names"))
+    refs = asset_refs(spark, sf_dir)
+    refs = refs.join(asset_names_of(spark, refs), "target").groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("raw", "local"))).alias("names"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"url": b["url"], "html": [offline(h, dict(n or {})) for h, n in zip(b["html"], b["names"], strict=True)]})
 
-    return spark.createDataFrame(PAGES, "url string, html string").join(refs, "url", "left").mapInPandas(run, "url string, html string")
+    return pages_with_assets(spark, sf_dir).dropDuplicates(["url"]).join(refs, "url", "left").select("url", "html", "names").mapInPandas(run, "url string, html string")
 
 
-def asset_names_of(refs: DataFrame) -> DataFrame:
-    return refs.select(F.col("target").alias("url"), F.lit("").alias("content_type")).distinct().select(F.col("url").alias("target"), F.expr(_name(Spark)).alias("name"))
+def asset_names_of(spark: SparkSession, refs: DataFrame) -> DataFrame:
+    """target, local: the file that a reference's target was saved as, by the type its fetch recorded."""
+    types = spark.createDataFrame(TYPES, "url string, content_type string")
+    named = refs.select(F.col("target").alias("url")).distinct().join(F.broadcast(types), "url", "left").na.fill("", ["content_type"])
+    return named.select(F.col("url").alias("target"), F.expr(_local(Spark)).alias("local"))
 
 
 WCAG = [("a.html", "image-alt", 3), ("a.html", "label", 1), ("b.html", "image-alt", 2)]

@@ -14,7 +14,7 @@ from webstrata.operators import dom
 from webstrata.operators import extract as X
 from webstrata.plans.catalog import query
 from webstrata.plans.content import located
-from webstrata.plans.dashboard import P
+from webstrata.plans.dashboard import LOC, P
 from webstrata.sources import corpus
 
 FAQ = [
@@ -39,7 +39,17 @@ def link_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("scan", "pid", "region").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("qa_pairs", None)
+#: What a reader finds on the made-up pages; captured pages hold no question of any of the four kinds.
+ANSWERS = [
+    ("bank.example", 2, "heading", "How do I apply?", "Fill in the form and wait for a call. 1 2024"),
+    ("faq.example", 1, "details", "Can I leave?", "You can leave at any time you want."),
+    ("faq.example", 1, "jsonld", "How much is it?", "It is free of charge."),
+    ("faq.example", 1, "heading", "Where are you?", "In a town by the sea, near the harbour. Second part."),
+    ("faq.example", 1, "dl", "Who runs it?", "A small team of people who like it."),
+]
+
+
+@query("qa_pairs", f"SELECT scan, CAST(pid AS BIGINT) AS pid, extractor, question, answer FROM {corpus.values(ANSWERS)} t(scan, pid, extractor, question, answer)")
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question and answer pairs of a site; the first of each question, in order of page and extractor."""
     pages = corpus.pages(spark, sf_dir).select("scan", "pid", "html").unionByName(spark.createDataFrame(FAQ, "scan string, pid long, url string, html string").drop("url"))
@@ -50,45 +60,79 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("scan", "f.pid", "f.extractor", "f.question", "f.answer")
 
 
-@query("page_chunks", None)
+def _chunks_sql() -> str:
+    """Cut at headings by patterns instead of a tree: the made-up and captured pages are well-formed enough for that."""
+    clean = "html"
+    for gone in ("script", "style", "nav", "footer", "header"):
+        clean = Duck.rep(clean, rf"(?i)<{gone}\b[^>]*>[\s\S]*?</{gone}>", "")
+    clean = Duck.rep(clean, r"<!--[\s\S]*?-->", "")
+    plain = lambda e: Duck.rep(Duck.rep(e, r"(?i)<p\b[^>]*>|</(?:p|a|table|time|ul|ol|dl|div|h[4-6]|pre|blockquote|article|main|body|html)\s*>", " "), "<[^>]*>", "")
+
+    def text(e: str) -> str:
+        e = plain(e)
+        for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+            e = f"replace({e}, '{name}', {char})"
+        return S.squeeze(Duck, e)
+
+    return f"""WITH {P}, c AS (SELECT scan, pid, unnest(range(2, len(s) + 1)) AS i, unnest(s[2:]) AS part FROM (SELECT scan, pid, regexp_split_to_array({clean}, '(?i)<h[1-3]\\b[^>]*>') AS s FROM page)),
+t AS (SELECT scan, pid, i, {text(Duck.ext('part', r'(?i)^([\s\S]*?)</h[1-3]'))} AS heading, substr({text(Duck.ext('part', r'(?i)^[\s\S]*?</h[1-3]\s*>([\s\S]*)$'))}, 1, {dom.CHUNK}) AS text FROM c)
+SELECT scan, pid, CAST(row_number() OVER (PARTITION BY scan, pid ORDER BY i) - 1 AS BIGINT) AS pos, heading, text FROM t WHERE heading <> '' AND length(text) >= {2 * dom.LEAST}"""
+
+
+@query("page_chunks", _chunks_sql())
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading-scoped chunks of every page."""
     return over_pages(corpus.pages(spark, sf_dir), dom.chunks, "pos long, heading string, text string", ["pos", "heading", "text"])
 
 
+def strip_length(areas: list[float], side: float) -> int:
+    """How many of the (descending) areas stand side by side along ``side`` before their worst aspect ratio gets worse."""
+    filled, best = 0.0, float("inf")
+    for n, area in enumerate(areas):
+        filled += area
+        square = (filled / side) ** 2
+        # Of a strip, only the first and the last cell can be the least square.
+        ratio = max(areas[0] / square, square / area)
+        if ratio > best:
+            return n
+        best = ratio
+    return len(areas)
+
+
 def squarified(values: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
-    """Rectangles for descending values, rows kept as square as they can be."""
-    total = sum(values)
-    if not values or total <= 0:
-        return []
-    areas = [v * w * h / total for v in values]
-    out: list[tuple[float, float, float, float]] = []
-
-    def worst(row: list[float], side: float) -> float:
-        s = sum(row)
-        return max(side * side * max(row) / (s * s), s * s / (side * side * min(row)))
-
-    row: list[float] = []
-    for a in [*areas, None]:
+    """Rectangles for descending values: strips along the shorter side of what is left, as square as they can be."""
+    total, cells = sum(values), []
+    left = [v * w * h / total for v in values] if total > 0 else []
+    while left:
         side = min(w, h)
-        if a is not None and (not row or worst([*row, a], side) <= worst(row, side)):
-            row.append(a)
-            continue
-        depth = sum(row) / side
-        at = 0.0
-        for r in row:
-            length = r / depth
-            out.append((x, y + at, depth, length) if w >= h else (x + at, y, length, depth))
-            at += length
-        if w >= h:
+        strip, left = (n := strip_length(left, side)) and left[:n], left[n:]
+        depth, along = sum(strip) / side, 0.0
+        for area in strip:
+            cells.append((x, y + along, depth, area / depth) if side == h else (x + along, y, area / depth, depth))
+            along += area / depth
+        if side == h:
             x, w = x + depth, w - depth
         else:
             y, h = y + depth, h - depth
-        row = [a] if a is not None else []
-    return out
+    return cells
+
 
+def _treemap_sql() -> str:
+    ratio = lambda row: f"greatest({row}[1] / pow(list_sum({row}) / side, 2), pow(list_sum({row}) / side, 2) / {row}[-1])"
+    more = "list_append(strip, areas[i])"
+    cell = lambda a: f"list_transform(range(1, len(strip) + 1), lambda k: {a})"
+    along = "coalesce(list_sum(strip[1:k - 1]), 0) / depth"
+    return f"""WITH RECURSIVE {P}, {LOC}, s AS (SELECT scan, section, CAST(sum(size) AS DOUBLE) AS size FROM loc GROUP BY ALL),
+a AS (SELECT scan, list(section ORDER BY size DESC, section) AS names, list(size * 6000 / total ORDER BY size DESC, section) AS areas FROM (SELECT *, sum(size) OVER (PARTITION BY scan) AS total FROM s) GROUP BY scan),
+r AS (SELECT scan, areas, 1 AS i, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(100 AS DOUBLE) AS w, CAST(60 AS DOUBLE) AS h, CAST([] AS DOUBLE[]) AS strip, CAST([] AS DOUBLE[][]) AS cells FROM a
+UNION ALL SELECT scan, areas, CASE WHEN takes THEN i + 1 ELSE i END, CASE WHEN takes OR w < h THEN x ELSE x + depth END, CASE WHEN takes OR w >= h THEN y ELSE y + depth END, CASE WHEN takes OR w < h THEN w ELSE w - depth END, CASE WHEN takes OR w >= h THEN h ELSE h - depth END, CASE WHEN takes THEN {more} ELSE [] END,
+  CASE WHEN takes THEN cells WHEN w >= h THEN list_concat(cells, {cell(f'[x, y + {along}, depth, strip[k] / depth]')}) ELSE list_concat(cells, {cell(f'[x + {along}, y, strip[k] / depth, depth]')}) END
+  FROM (SELECT *, coalesce(list_sum(strip), 0) / side AS depth, i <= len(areas) AND (len(strip) = 0 OR {ratio(more)} <= {ratio('strip')}) AS takes FROM (SELECT *, least(w, h) AS side FROM r) WHERE i <= len(areas) OR len(strip) > 0)),
+f AS (SELECT r.scan, names, cells FROM r JOIN a USING (scan) WHERE len(cells) = len(a.areas))
+SELECT scan, names[k] AS section, round(cells[k][1], 6) AS x, round(cells[k][2], 6) AS y, round(cells[k][3], 6) AS w, round(cells[k][4], 6) AS h FROM (SELECT *, unnest(range(1, len(names) + 1)) AS k FROM f)"""
 
-@query("treemap_layout", None)
+
+@query("treemap_layout", _treemap_sql())
 def treemap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a scan as cells of a 100 by 60 map. One row per section is all a group holds."""
     s = located(corpus.pages(spark, sf_dir)).groupBy("scan", "section").agg(F.sum("size").cast("double").alias("size"))
@@ -101,7 +145,11 @@ def treemap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("scan").applyInPandas(layout, "scan string, section string, x double, y double, w double, h double")
 
 
-@query("chrome_groups", None)
+#: The groups that are left: the site's own, then the defaults but for the one switched off.
+GROUPS = [(0, "Mega menu", ".mega a,<<<broken"), *((i, n, ",".join(dom.CHROME[n])) for i, n in ((1, "nav"), (2, "header")))]
+
+
+@query("chrome_groups", f"SELECT CAST(place AS BIGINT) AS place, name, selectors FROM {corpus.values(GROUPS)} t(place, name, selectors)")
 def chrome_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups in force for a site with one group of its own and one default switched off."""
     groups = dom.chrome_groups([{"name": "Mega menu", "selectors": [".mega a", "<<<broken"]}, {"name": "Off", "selectors": ["x"], "enabled": False}], ("footer",))
