@@ -119,6 +119,66 @@ def test_op3(docs):
     assert any("zorbo" in {texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(","))} for r in told)
 
 
+def entity_of(kind, value):
+    return (kind, value.lower() if kind == 0 else value if kind == 1 else re.sub(r"[^0-9]", "", value))
+
+
+def brute_terms(texts):
+    """Every disclosing term and whether it is to go, by counting all pairs of entities and words over all texts."""
+    n_e, n_t, n_et = (collections.Counter() for _ in range(3))
+    for t in texts:
+        t = t or ""
+        spans = brute_pii(t)
+        entities = {entity_of(k, t[a:b]) for a, k, b in spans}
+        terms = {m[0].lower() for m in re.finditer(r"\w+", t) if len(m[0]) >= 3 and not m[0].isdigit() and not any(a < m.end() and m.start() < b for a, _, b in spans)}
+        n_e.update(entities)
+        n_t.update({w.lower() for w in re.findall(r"\w+", t)})
+        n_et.update(itertools.product(entities, terms))
+    share = collections.defaultdict(float)
+    for (e, w), n in n_et.items():
+        if n >= 2 and n_e[e] < len(texts):
+            share[w] = max(share[w], math.log2(len(texts) * n / (n_e[e] * n_t[w])) / math.log2(len(texts) / n_e[e]))
+    return {w: x >= 1 - 1e-9 for w, x in share.items() if x >= 0.8}
+
+
+def brute_marked(t, terms):
+    """All spans of a text: base ones, and the disclosing words that no base span touches."""
+    spans = brute_pii(t)
+    found = [(m.start(), 5 if terms[m[0].lower()] else 4, m.end()) for m in re.finditer(r"\w+", t) if len(m[0]) >= 3 and m[0].lower() in terms and not m[0].isdigit() and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+    return sorted(spans + found)
+
+
+def brute_rewritten(t, terms):
+    out, at = "", 0
+    for a, k, b in brute_marked(t, terms):
+        if a >= at:
+            out += t[at:a] + ("" if k == 5 else f"[{pii.KINDS[k].upper()}]")
+        at = max(at, b)
+    return out + t[at:]
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_pii_terms_against_counting_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(pii, "SMALL", small)
+    rnd = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(60)]
+    people = [f"p{i}@mail{i}.example" for i in range(6)]
+    held = [(r[0], r[1]) for r in rows()]
+    for i in range(120):
+        who = i % 9
+        marks = [f"Alias{who}", "CLUB" if who < 2 else "club7"] if who < 6 and rnd.random() < 0.8 else []
+        held.append((1000 + i, " ".join([*marks, *(rnd.choice(vocabulary) for _ in range(20)), *([f"mail {people[who]} now"] if who < 6 else [])])))
+    terms = brute_terms([t for _, t in held])
+    assert len(terms) > 5 and len(set(terms.values())) == 2
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    want = collections.Counter()
+    for d, t in held:
+        spans = brute_marked(t or "", terms) if brute_pii(t or "") else []
+        want[d, ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)] += 1
+    assert collections.Counter((r.doc_id, r.spans) for r in pii.op3(df).collect()) == want
+    assert collections.Counter((r.doc_id, r.text) for r in pii.sanitised(df).collect()) == collections.Counter((d, t and brute_rewritten(t, terms)) for d, t in held)
+
+
 def test_pii_patterns_agree_with_the_plain_ones():
     rnd = random.Random(9)
     for _ in range(3000):
