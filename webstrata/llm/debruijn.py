@@ -1,21 +1,23 @@
 """Substring dedup by de Bruijn compaction over word k-mers.
 
-Every window of ``WINDOW`` words is an edge between the (WINDOW - 1)-word nodes it starts and ends with. Edges are
-gathered around anchors: the ``ANCHOR``-word piece with the smallest hash in an edge, so equal edges have equal anchors,
-and an anchor's context is the path of all edges that can pass through it.
-
-1. Anchors are counted over the corpus; those seen once carry no repeated edge (a bitmap of the others spares the rest).
-2. Where a repeated anchor has one context everywhere, the path through it does not branch: its edges compact into one
-   record, joined back to its occurrences with the smallest doc_id that holds the path.
-3. Where contexts differ, the graph branches, and the edges of each context's first document stand alone: those seen
-   again (a bitmap, as in 1) meet the smallest doc_id of their equals.
-4. The source coordinates of repeated edges, in words, are joined to the texts; overlapping stretches merge into the
-   maximal spans, and the remaining words are hashed.
-
-Edges are told apart by 128 bits (anchor and context) or, in step 3, by 64.
-
-Scale: rows of hashes and coordinates are all that is shuffled before the texts' one join. A path in a third of all
-documents is pre-aggregated to a row per task, and its join back is an ordinary join that adaptive execution splits.
+Every window of ``WINDOW`` words is an edge between the (WINDOW - 1)-word nodes it starts and ends with. Only edges that
+several documents have matter; each carries the smallest doc_id that has it as its colour.
+
+1. Edges are dealt by anchors: the ``ANCHOR``-word piece with the smallest hash in an edge. Equal edges have equal anchors,
+   and neighbouring edges of a text mostly the same one: such a run of edges is compacted where it is found. Anchors are
+   counted first; those seen once carry no repeated edge (a bitmap of the others spares the rest).
+2. Runs are counted by anchor and content. One that several documents have is a path of the graph. Where an anchor has
+   runs of several contents, the graph forks within a run, and the edges of the first document with each content stand
+   alone: those seen again (a bitmap, as in 1) meet the smallest doc_id of their equals.
+3. Compaction: the degrees of the nodes between paths are counted, and a path goes on across a node that one path enters
+   and one leaves, of one colour. As all paths so joined lie one after another in the document of their colour, no
+   pointers need to be followed: whatever document passes through them has them in a row, at one distance from the source.
+4. The coordinates of the compacted paths in their source are joined to that document's text, which gives a digest of the
+   words; what another document has is removed only where its own words have the same digest.
+
+Scale: rows of hashes and coordinates are all that is shuffled before the texts' joins, of which each text that may change
+takes part in one, and each source in another. A path in a third of all documents is pre-aggregated to a row per task, and
+its join back is an ordinary join that adaptive execution splits; the spans asked of one source are gathered once each.
 
 Defined results: null text has no words; documents under WINDOW words keep all; equal doc_ids (repeated rows) do not
 remove each other; a null doc_id is neither smaller nor larger, so such rows keep all and remove nothing; an empty
@@ -47,39 +49,40 @@ def texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def anchors(data: bytes, window: int, k: int) -> tuple[kernels.Rolling | None, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rolling hash over the words, and word place, hash and context hash of every anchor; the number of words."""
+def runs(data: bytes, window: int, k: int) -> tuple[kernels.Rolling | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rolling hash over the words; of every run of edges with one anchor: the anchor's hash, the run's, both end nodes' (32 bits each), first word and word after the last; the number of words."""
     words = kernels.token_hashes(data)
     n = len(words)
     if n < window:
-        return None, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), n
+        return None, *(np.empty(0, np.uint64),) * 3, *(np.empty(0, np.int64),) * 2, n
     roll = kernels.Rolling(words)
     hashes = kernels.mix(roll.all_windows(k))
-    at = kernels.minimizers(hashes, window - k + 1)
-    start, end = np.maximum(at - (window - k), 0), np.minimum(at + window, n)
-    context = kernels.mix(roll.runs(start, end) ^ kernels.mix((at - start).astype(np.uint64) * np.uint64(1 << 32) + (end - at).astype(np.uint64)))
-    return roll, at, hashes[at], context, n
+    at, a, last = kernels.minimizer_runs(hashes, window - k + 1)
+    b = last + window
+    content = kernels.mix(roll.runs(a, b) ^ kernels.mix((at - a).astype(np.uint64) * np.uint64(1 << 32) + (b - a).astype(np.uint64)))
+    start, end = kernels.mix(roll.runs(a, a + window - 1)), kernels.mix(roll.runs(b - window + 1, b))
+    return roll, hashes[at], content, (start >> np.uint64(32) << np.uint64(32)) | (end >> np.uint64(32)), a, b, n
 
 
 def anchor_hashes(window: int, k: int):
-    return lambda batch: np.concatenate([np.empty(0, np.uint64), *(anchors(t, window, k)[2] for t in texts(batch, 0))])
+    return lambda batch: np.concatenate([np.empty(0, np.uint64), *(runs(t, window, k)[1] for t in texts(batch, 0))])
 
 
 def occurrences(window: int, k: int, wanted):
-    """Anchors in the bitmap: (doc_id, text hash, anchor, context, first word, word after the last)."""
+    """Runs with an anchor in the bitmap: (doc_id, text hash, anchor, content, end nodes, place in its document, first word, word after the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            th = batch.column(1).to_numpy().astype(np.int64)
+            rows: list[list] = [[] for _ in range(7)]
             for i, t in enumerate(texts(batch, 2)):
-                _, at, h, c, n = anchors(t, window, k)
-                keep = bits.holds_top(wanted.value, h) if len(at) else np.empty(0, bool)
+                _, h, c, ends, a, b, _ = runs(t, window, k)
+                keep = bits.holds_top(wanted.value, h) if len(h) else np.empty(0, bool)
                 if keep.any():
-                    at = at[keep]
-                    for column, values in zip(rows, (np.full(len(at), i), signed(h[keep]), signed(c[keep]), np.maximum(at - (window - k), 0), np.minimum(at + window, n)), strict=True):
+                    for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(h[keep]), signed(c[keep]), signed(ends[keep]), (th[i] << 32) | a[keep], a[keep], b[keep]), strict=True):
                         column.append(values)
-            i, h, c, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield placed(batch, i, [h, c], a, b, ["h", "c"])
+            i, h, c, ends, place, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield placed(batch, i, [h, c, ends, place], a, b, ["h", "c", "ends", "place"])
 
     return run
 
@@ -91,16 +94,12 @@ def placed(batch: pa.RecordBatch, i: np.ndarray, hashes: list[np.ndarray], a: np
 
 
 def head_edges(t: bytes, doc_id: int, window: int, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the edges of a document's branching contexts that it is the first to have."""
-    roll, at, h, c, n = anchors(t, window, k)
-    keep = bits.holds(words, h ^ c ^ np.uint64(doc_id % 2**64)) if len(at) else np.empty(0, bool)
+    """Hash and place of the edges of a document's forking runs that it is the first to have."""
+    roll, h, c, _, a, b, n = runs(t, window, k)
+    keep = bits.holds(words, h ^ c ^ np.uint64(doc_id % 2**64)) if len(h) else np.empty(0, bool)
     if not keep.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    at = at[keep]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(at - (window - k), 0), 1)
-    np.add.at(edge, np.minimum(at, n - window) + 1, -1)
-    at = np.flatnonzero(np.cumsum(edge) > 0)
+    at = np.flatnonzero(kernels.covered(n, a[keep], b[keep] - window + 1))
     return kernels.mix(roll.runs(at, at + window)), at
 
 
@@ -113,41 +112,98 @@ def edge_hashes(window: int, k: int, heads):
 
 
 def branching_edges(window: int, k: int, heads, again):
-    """Edges of branching contexts that may occur elsewhere, in the context's first document."""
+    """Edges of forking runs that may occur elsewhere, in the run's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows: list[list] = [[], [], []]
+            ids, th = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64)
+            rows: list[list] = [[] for _ in range(4)]
             for i, t in enumerate(texts(batch, 2)):
                 e, at = head_edges(t, ids[i], window, k, heads.value)
                 keep = bits.holds_top(again.value, e)
-                for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(e[keep]), at[keep]), strict=True):
+                for column, values in zip(rows, (np.full(int(keep.sum()), i), signed(e[keep]), (th[i] << 32) | at[keep], at[keep]), strict=True):
                     column.append(values)
-            i, e, a = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
-            yield placed(batch, i, [e], a, a + window, ["e"])
+            i, e, place, a = (np.concatenate([np.empty(0, np.int64), *x]) for x in rows)
+            yield placed(batch, i, [e, place], a, a + window, ["e", "place"])
 
     return run
 
 
+CHAIN = "doc_id long, th int, a int, b int, first long, th0 int, a0 int"
+
+
+def chained(window: int):
+    """A document's repeated paths -> its compacted ones: those in a row, at one distance from one source, unless the graph branches between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            x = batch.column(2).flatten()
+            a, b, first, place, goes_on = (x.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "first", "source", "goes_on"))
+            th0, a0 = place >> 32, place & 0xFFFFFFFF
+            by = np.lexsort((b, a, a - a0, th0, first, doc))
+            a, b, first, th0, a0, goes_on, doc = (v[by] for v in (a, b, first, th0, a0, goes_on, doc))
+            same = np.zeros(len(a), bool)
+            same[1:] = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (th0[1:] == th0[:-1]) & (a[1:] - a0[1:] == a[:-1] - a0[:-1]) & (a[1:] <= b[:-1] - window + 1) & goes_on[1:]
+            head = np.flatnonzero(~same)
+            end = np.maximum.reduceat(b, head) if len(head) else b
+            at = pa.array(doc[head])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v.astype(t)) for v, t in ((a[head], np.int32), (end, np.int32), (first[head], np.int64), (th0[head], np.int32), (a0[head], np.int32)))], names=["doc_id", "th", "a", "b", "first", "th0", "a0"])
+
+    return run
+
+
+def source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, text, spans) -> the digest of the words of every span."""
+    for batch in batches:
+        rows = [(i, s["a0"], s["n"], word_digest(w[s["a0"] : s["a0"] + s["n"]])) for i, (t, spans) in enumerate(zip(texts(batch, 2), batch.column(3).to_pylist(), strict=True)) for w in [t.split()] for s in spans]
+        i, a0, n, d = zip(*rows, strict=True) if rows else ((), (), (), ())
+        at = pa.array(i, pa.int64())
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(a0, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.binary())], names=["first", "th0", "a0", "n", "words"])
+
+
+def word_digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, th, a, b): stretches of words covered by edges that a document with a smaller doc_id has too."""
+    """``CHAIN``: stretches of words [a, b) on paths that the document ``first`` (with a smaller doc_id) has from its word a0 on."""
     keyed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text")
     again = bits.repeated(keyed.select("text"), anchor_hashes(window, k))
-    found = stored(keyed.mapInArrow(occurrences(window, k, again), "doc_id long, th int, h long, c long, a int, b int"))
-    paths = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    # Compacted paths: everything after the first document goes, with all edges of the context.
-    shared = paths.filter("first < last").select("h", "c", "first")
-    whole = found.join(shared, ["h", "c"]).filter("doc_id > first").select("doc_id", "th", "a", "b")
+    found = stored(keyed.mapInArrow(occurrences(window, k, again), "doc_id long, th int, h long, c long, ends long, place long, a int, b int"))
+    source = F.min_by("place", "doc_id").alias("source")
+    paths = stored(found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("ends").alias("ends"), source))
+    shared = paths.filter("first < last").select("h", "c", "first", "source", F.shiftright("ends", 32).alias("start"), F.col("ends").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").alias("end"))
+    shared = shared.withColumn("start", F.col("start").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # Nodes that one path enters and one leaves, with the colour of either.
+    enters = shared.groupBy(F.col("end").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("first").alias("colour")).filter("n_in = 1")
+    leaves = shared.groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("n_out")).filter("n_out = 1")
+    inner = enters.join(leaves, "node").select(F.col("node").alias("start"), "colour")
+    shared = shared.join(inner, "start", "left").select("h", "c", "first", "source", F.coalesce(F.col("colour") == F.col("first"), F.lit(False)).alias("goes_on"))
+    whole = found.select("doc_id", "th", "h", "c", "a", "b").join(shared, ["h", "c"]).filter("doc_id > first").select("doc_id", "th", "a", "b", "first", "source", "goes_on")
 
     forks = paths.groupBy("h").agg((F.min("c") != F.max("c")).alias("forks"), F.min("first").alias("lo"), F.max("last").alias("hi")).filter("forks AND lo < hi").select("h")
     first = stored(paths.join(forks, "h").select("h", "c", "first"))
     heads = bits.bitmap(first, F.col("h").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first")), first.count())
     again = bits.repeated(keyed, edge_hashes(window, k, heads))
-    edges = stored(keyed.mapInArrow(branching_edges(window, k, heads, again), "doc_id long, th int, e long, a int, b int"))
-    met = edges.groupBy("e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("e", "first")
-    apart = edges.join(met, "e").filter("doc_id > first").select("doc_id", "th", "a", "b")
-    return whole.unionByName(apart)
+    edges = stored(keyed.mapInArrow(branching_edges(window, k, heads, again), "doc_id long, th int, e long, place long, a int, b int"))
+    met = edges.groupBy("e").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), source).filter("first < last").select("e", "first", "source")
+    apart = edges.join(met, "e").filter("doc_id > first").select("doc_id", "th", "a", "b", "first", "source", F.lit(True).alias("goes_on"))
+    of_doc = whole.unionByName(apart).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "first", "source", "goes_on")).alias("paths"))
+    return of_doc.mapInArrow(chained(window), CHAIN)
+
+
+def verifiable(docs: DataFrame, chains: DataFrame) -> DataFrame:
+    """doc_id, th, spans (a, b, digest of the source's words there) of all documents with chains."""
+    at = ["first", "th0", "a0", "n"]
+    chains = stored(chains.withColumn("n", F.col("b") - F.col("a")))
+    asked = stored(chains.select(*at).distinct().groupBy("first", "th0").agg(F.collect_list(F.struct("a0", "n")).alias("spans")))
+    keys = bits.bitmap(asked, F.xxhash64("first", "th0"), asked.count())
+    keyed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
+    held = keyed.select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "text", "th").mapInArrow(touched(keys), "key long, doc_id long, text string, th int")
+    held = held.select(F.col("doc_id").alias("first"), F.col("th").alias("th0"), "text").join(asked, ["first", "th0"])
+    known = held.mapInArrow(source_digests, "first long, th0 int, a0 int, n int, words binary").distinct()
+    return chains.join(known, at).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "words")).alias("spans"))
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +212,7 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, spans in zip(texts(batch, 1), batch.column(2).to_pylist(), strict=True):
             words, removed = t.split(), 0
             n = len(words)
+            spans = [s for s in spans or () if word_digest(words[s["a"] : s["b"]]) == s["words"]]
             if spans:
                 gone = kernels.covered(n, np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
                 removed = int(gone.sum())
@@ -195,7 +252,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Data
     if not 1 <= k <= window:
         raise ValueError(f"a window of {window} words holds no piece of {k}")
     small_batches(docs.sparkSession)
-    spans = stored(repeats(docs, window, k).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    spans = stored(verifiable(docs, repeats(docs, window, k)))
     keys = bits.bitmap(spans, F.xxhash64("doc_id", "th"), spans.count())
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
     keyed = keyed.select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "text", "th")
