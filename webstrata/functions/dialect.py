@@ -11,6 +11,8 @@ WIDE = r"\s\x0B\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}
 
 
 class Spark:
+    #: A word boundary before a word character, and one after it: cheaper than ``EDGE``, which looks both ways.
+    START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
     @staticmethod
@@ -59,7 +61,7 @@ class Spark:
 
 
 class Duck:
-    EDGE = r"\b"
+    START = END = EDGE = r"\b"
 
     @staticmethod
     def rep(e: str, pattern: str, by: str) -> str:

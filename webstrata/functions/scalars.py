@@ -125,19 +125,19 @@ def phone_key(D, e: str) -> str:
 
 
 def phones(D, text: str) -> str:
-    edge = D.EDGE
-    found = D.map(D.every(text, rf"(?:\+44\s?|{edge}0)(?:\d[\d\s-]{{8,12}}\d)", 0), "v", trimmed(D, "v"))
+    found = D.map(D.every(text, rf"(?:\+44\s?|{D.START}0)(?:\d[\d\s-]{{8,12}}\d)", 0), "v", trimmed(D, "v"))
     return D.distinct(D.keep(found, "v", f"length({phone_key(D, 'v')}) between 10 and 13"))
 
 
 def emails(D, text: str) -> str:
+    """Only a text with an @ is searched: the pattern starts at every word."""
     edge = D.EDGE
-    return D.distinct(D.map(D.every(text, rf"{edge}[\w.+-]+@[\w-]+\.[\w.-]{{2,}}{edge}", 0), "v", "lower(v)"))
+    some = f"case when {D.contains(text, chr(39) + '@' + chr(39))} then {text} else '' end"
+    return D.distinct(D.map(D.every(some, rf"{edge}[\w.+-]+@[\w-]+\.[\w.-]{{2,}}{edge}", 0), "v", "lower(v)"))
 
 
 def postcodes(D, text: str) -> str:
-    edge = D.EDGE
-    return D.distinct(D.map(D.every(text, rf"{edge}[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}{edge}", 0), "v", D.rep("upper(v)", r"\s+", " ")))
+    return D.distinct(D.map(D.every(text, rf"{D.START}[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}{D.END}", 0), "v", D.rep("upper(v)", r"\s+", " ")))
 
 
 def prices(D, text: str) -> str:
@@ -145,8 +145,7 @@ def prices(D, text: str) -> str:
 
 
 def facty(D) -> str:
-    edge = D.EDGE
-    return rf"((?:\+44\s?|{edge}0)\d[\d\s-]{{8,12}}\d|[£$€]\s?\d[\d,]*(?:\.\d{{2}})?|{edge}[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}{edge})"
+    return rf"((?:\+44\s?|{D.START}0)\d[\d\s-]{{8,12}}\d|[£$€]\s?\d[\d,]*(?:\.\d{{2}})?|{D.START}[A-Z]{{1,2}}\d[A-Z\d]?\s?\d[A-Z]{{2}}{D.END})"
 
 
 def js_round(e: str) -> str:

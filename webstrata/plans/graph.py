@@ -67,11 +67,11 @@ def edges(pages: DataFrame) -> DataFrame:
     target = S.page_path(Spark, Spark.rep("href", "#.*$", ""))
     e = X.links(pages).filter("kind = 'page'").withColumn("target", F.expr(target)).filter("target is not null and target <> path")
     key = ["scan", "path", "target"]
-    base = e.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"), F.bool_and("nofollow").alias("nofollow"), F.min("url").alias("source_url"))
-    texts = e.filter("text <> ''").groupBy(*key, "text").agg(F.min(F.struct("pid", "pos")).alias("at"))
-    texts = texts.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("at"))).filter("_n <= 5")
-    texts = texts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("texts"))
-    return base.join(texts, key, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    # One row per text first, then one per edge: the pages are cut once.
+    by_text = e.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("n"), F.bool_and("nofollow").alias("nofollow"), F.min("url").alias("url"), F.min(F.struct("pid", "pos")).alias("at"))
+    by_text = by_text.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.col("text") == "", "at")))
+    five = F.collect_list(F.when((F.col("_n") <= 5) & (F.col("text") != ""), F.struct("_n", "text")))
+    return by_text.groupBy(*key).agg(F.sum("n").alias("occurrences"), F.bool_and("nofollow").alias("nofollow"), F.min("url").alias("source_url"), F.transform(F.array_sort(five), lambda x: x["text"]).alias("texts"))
 
 
 E = f"""{L}, hop AS (SELECT *, {S.page_path(Duck, Duck.rep('href', '#.*$', ''))} AS target FROM link WHERE kind = 'page'),
