@@ -229,7 +229,8 @@ def within_region(size: int, percent: int):
         owner = np.repeat(np.arange(n), sizes)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         mark = np.zeros(len(symbols), bool)
-        left = np.arange(n)
+        # Members of small components first: once the others are all of one, nothing is left to compare.
+        left = np.argsort(np.bincount(comp)[comp], kind="stable")
         links: list[tuple[int, int]] = []
 
         def join(a: int, b: int) -> None:
