@@ -12,8 +12,9 @@ several documents have matter; each carries the smallest doc_id that has it as i
 3. Compaction: the degrees of the nodes between paths are counted, and a path goes on across a node that one path enters
    and one leaves, of one colour. As all paths so joined lie one after another in the document of their colour, no
    pointers need to be followed: whatever document passes through them has them in a row, at one distance from the source.
-4. The coordinates of the compacted paths in their source are joined to that document's text, which gives a digest of the
-   words; what another document has is removed only where its own words have the same digest.
+4. The coordinates of the compacted paths in their source are joined to that document's text, which gives a check of the
+   words, by other symbols than the edges' hashes; what another document has is removed only where its own words have the
+   same.
 
 Scale: rows of hashes and coordinates are all that is shuffled before the texts' joins, of which each text that may change
 takes part in one, and each source in another. A path in a third of all documents is pre-aggregated to a row per task, and
@@ -129,6 +130,7 @@ def branching_edges(window: int, k: int, heads, again):
     return run
 
 
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("words", pa.int64())]))
 CHAIN = "doc_id long, th int, a int, b int, first long, th0 int, a0 int"
 
 
@@ -153,17 +155,33 @@ def chained(window: int):
     return run
 
 
-def source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, spans) -> the digest of the words of every span."""
-    for batch in batches:
-        rows = [(i, s["a0"], s["n"], word_digest(w[s["a0"] : s["a0"] + s["n"]])) for i, (t, spans) in enumerate(zip(texts(batch, 2), batch.column(3).to_pylist(), strict=True)) for w in [t.split()] for s in spans]
-        i, a0, n, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-        at = pa.array(i, pa.int64())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(a0, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.binary())], names=["first", "th0", "a0", "n", "words"])
+def checks(data: bytes) -> kernels.Rolling:
+    """Rolling hash over the words by other symbols than those that edges are told apart by."""
+    raw = np.frombuffer(data, np.uint8)
+    start, end = kernels.token_bounds(raw)
+    return kernels.Rolling(kernels.mix(kernels.Rolling(kernels.mix(kernels.byte_symbols(raw))).runs(start, end) ^ (end - start).astype(np.uint64)))
+
 
+def of_row(column: pa.Array, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The fields of a column of lists of structs, row by row; a null is an empty list."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x = column.flatten()
+    fields = [x.field(n).to_numpy(zero_copy_only=False) for n in names]
+    for at, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        yield tuple(f[at : at + n] for f in fields)
 
-def word_digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+def source_checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, text, spans) -> the check of the words of every span."""
+    for batch in batches:
+        rows: list[list] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for i, (t, (a0, n)) in enumerate(zip(texts(batch, 2), of_row(batch.column(3), ("a0", "n")), strict=True)):
+            found = checks(t).runs(a0.astype(np.int64), a0.astype(np.int64) + n)
+            for column, values in zip(rows, (np.full(len(a0), i), a0, n, signed(kernels.mix(found))), strict=True):
+                column.append(values)
+        i, a0, n, words = (np.concatenate(x) for x in rows)
+        at = pa.array(i)
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(a0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words)], names=["first", "th0", "a0", "n", "words"])
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -194,7 +212,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
 
 
 def verifiable(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """doc_id, th, spans (a, b, digest of the source's words there) of all documents with chains."""
+    """doc_id, th, spans (a, b, check of the source's words there) of all documents with chains."""
     at = ["first", "th0", "a0", "n"]
     chains = stored(chains.withColumn("n", F.col("b") - F.col("a")))
     asked = stored(chains.select(*at).distinct().groupBy("first", "th0").agg(F.collect_list(F.struct("a0", "n")).alias("spans")))
@@ -202,19 +220,20 @@ def verifiable(docs: DataFrame, chains: DataFrame) -> DataFrame:
     keyed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))
     held = keyed.select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "text", "th").mapInArrow(touched(keys), "key long, doc_id long, text string, th int")
     held = held.select(F.col("doc_id").alias("first"), F.col("th").alias("th0"), "text").join(asked, ["first", "th0"])
-    known = held.mapInArrow(source_digests, "first long, th0 int, a0 int, n int, words binary").distinct()
+    known = held.mapInArrow(source_checks, "first long, th0 int, a0 int, n int, words long").distinct()
     return chains.join(known, at).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "words")).alias("spans"))
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for t, spans in zip(texts(batch, 1), batch.column(2).to_pylist(), strict=True):
+        for t, (a, b, expected) in zip(texts(batch, 1), of_row(batch.column(2), ("a", "b", "words")), strict=True):
             words, removed = t.split(), 0
             n = len(words)
-            spans = [s for s in spans or () if word_digest(words[s["a"] : s["b"]]) == s["words"]]
-            if spans:
-                gone = kernels.covered(n, np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
+            if len(a):
+                a, b = a.astype(np.int64), b.astype(np.int64)
+                same = signed(kernels.mix(checks(t).runs(a, b))) == expected
+                gone = kernels.covered(n, a[same], b[same])
                 removed = int(gone.sum())
                 words = [words[i] for i in np.flatnonzero(~gone).tolist()]
             rows.append((n, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
@@ -236,7 +255,7 @@ def untouched_digests(keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.filter(pa.array(~bits.holds(keys.value, batch.column(0).to_numpy().view(np.uint64))))
-            yield from digest([pa.record_batch([rest.column(1), rest.column(2), pa.nulls(rest.num_rows)], names=["doc_id", "text", "spans"])])
+            yield from digest([pa.record_batch([rest.column(1), rest.column(2), pa.nulls(rest.num_rows, SPANS)], names=["doc_id", "text", "spans"])])
 
     return run
 
