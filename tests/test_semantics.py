@@ -146,6 +146,32 @@ def test_chunks():
     assert dom.chunks("<body>" + "plain " * 10 + "</body>")[0][1] is None
 
 
+def test_queue_never_runs_more_than_it_may():
+    """A job asked to pause keeps its place until its gate; another starts only then, and it goes on before new ones."""
+    import threading
+    import time
+
+    from webstrata.jobs import Queue
+
+    q, lock, now, most = Queue(concurrent=2), threading.Lock(), [0], [0]
+
+    def work(progress, params, gate):
+        for _ in range(5):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.02)
+            with lock:
+                now[0] -= 1
+            gate()
+
+    held = [q.submit("slow", work) for _ in range(5)]
+    time.sleep(0.03)
+    held += [q.submit("fast", work, priority=True) for _ in range(3)]
+    assert all(j.over.wait(20) for j in held) and all(j.status == "done" for j in held)
+    assert most[0] <= 2
+
+
 def test_offline_rewrite():
     html = assets.offline('<head></head><img src="a.png"><img src="a.png.bak"><link rel="preconnect" href="x">', {"a.png": "_assets/1.png"})
     assert 'src="_assets/1.png"' in html and 'src="a.png.bak"' in html and "preconnect" not in html and "Content-Security-Policy" in html

@@ -56,22 +56,25 @@ class Queue:
         return job
 
     def _pump(self) -> None:
+        """Resume what was held, start what there is room for, and ask one running job to make room for a priority job.
+
+        A job gives its place away when it has reached its gate, not when it is asked to.
+        """
         with self.lock:
-            while self.waiting and (len(self._active()) < self.concurrent):
+            if not any(j.priority for j in (*self.waiting, *self.running)):
+                for j in self.running:
+                    if j.paused.is_set():
+                        j.paused.clear()
+                        j.status = "running"
+            while self.waiting and len(self._active()) < self.concurrent:
                 job = self.waiting.pop(0)
                 job.status = "running"
                 self.running.append(job)
                 threading.Thread(target=self._work, args=(job,), daemon=True).start()
-            hold = any(j.priority for j in self.waiting)
-            for j in self.running:
-                if not j.priority and hold and j.status == "running" and not any(x.status == "paused" for x in self.running):
-                    j.status = "paused"
-                    j.paused.set()
-            if not hold and not any(j.priority for j in self.running):
-                for j in self.running:
-                    if j.status == "paused":
-                        j.status = "running"
-                        j.paused.clear()
+            if any(j.priority for j in self.waiting) and not any(j.paused.is_set() for j in self.running):
+                asked = next((j for j in self.running if not j.priority), None)
+                if asked:
+                    asked.paused.set()
 
     def _active(self) -> list[Job]:
         return [j for j in self.running if j.status != "paused"]
@@ -79,6 +82,8 @@ class Queue:
     def _gate(self, job: Job) -> None:
         while job.paused.is_set() and not job.cancelled:
             with self.lock:
+                if job.paused.is_set():
+                    job.status = "paused"
                 self._pump()
             threading.Event().wait(0.01)
         if job.cancelled:
