@@ -132,12 +132,24 @@ def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Sitemaps by URL: an index (which also names itself), a plain and a gzipped child, one of another kind.
 _SET = "<?xml version=\"1.0\"?><urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">{}</urlset>"
 SITEMAPS = [
-    (f"{SITE}/map.xml", False, "<sitemapindex>" + "".join(f"<sitemap><loc>{SITE}/{m}</loc></sitemap>" for m in ("map.xml", "one.xml", "two.xml.gz")) + "</sitemapindex>"),
+    (f"{SITE}/map.xml", False, "<sitemapindex>" + "".join(f"<sitemap><loc>{SITE}/{m}</loc></sitemap>" for m in ("map.xml", "one.xml", "two.xml.gz", "feed.xml", "page.xml")) + "</sitemapindex>"),
     (f"{SITE}/one.xml", False, _SET.format(f"<url><loc>{SITE}/a</loc><lastmod>2026</lastmod></url><url><loc> {SITE}/b?x=1&amp;y=2 </loc></url>")),
     (f"{SITE}/two.xml.gz", True, _SET.format(f"<url><loc>{SITE}/b?x=1&amp;y=2</loc></url><url><loc>{SITE}/c</loc></url>")),
+    (f"{SITE}/feed.xml", False, f"<?xml version=\"1.0\"?><!-- <urlset> --><rss><loc>{SITE}/never</loc></rss>"),
+    (f"{SITE}/page.xml", False, "not a document"),
 ]
 
 
+def map_kind(D) -> str:
+    """SRC8: by the root element; anything but a URL set or an index is an error, and gives no URLs."""
+    root = D.ext("xml", r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--[\s\S]*?-->\s*)*<(?:[A-Za-z0-9_]+:)?([A-Za-z0-9_]+)")
+    return f"case when {root} in ('urlset', 'sitemapindex') then {root} else 'error' end"
+
+
+def map_locations(D) -> str:
+    return D.map(D.every("xml", "(?i)<loc>([^<]*)</loc>"), "l", "replace(trim(l), '&amp;', '&')")
+
+
 def unpacked(maps: DataFrame) -> DataFrame:
     """(url, xml) of sitemap bodies, gunzipped by their magic number."""
 
@@ -150,21 +162,34 @@ def unpacked(maps: DataFrame) -> DataFrame:
 
 def sitemap_locations(maps: DataFrame, start: str, most: int = 50) -> DataFrame:
     """Distinct page URLs reachable from a sitemap; ``most`` sitemaps at most, each read once."""
-    xml = materialise(unpacked(maps).withColumn("index", F.col("xml").contains("<sitemapindex")).withColumn("loc", F.expr("transform(regexp_extract_all(xml, r'(?i)<loc>([^<]*)</loc>', 1), l -> replace(trim(l), '&amp;', '&'))")))
+    xml = materialise(unpacked(maps).withColumn("kind", F.expr(map_kind(Spark))).withColumn("loc", F.expr(map_locations(Spark))))
     seen = materialise(maps.sparkSession.createDataFrame([(start,)], "url string"))
     frontier = seen
     while frontier.limit(1).count():
-        frontier = xml.filter("index").join(frontier, "url", "left_semi").select(F.explode("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = xml.filter("kind = 'sitemapindex'").join(frontier, "url", "left_semi").select(F.explode("loc").alias("url")).distinct().join(seen, "url", "left_anti")
         frontier = materialise(frontier)
         seen = materialise(seen.unionByName(frontier).orderBy("url").limit(most))
         frontier = frontier.join(seen, "url", "left_semi")
-    return xml.filter("not index").join(seen, "url", "left_semi").select(F.explode("loc").alias("url")).distinct()
+    return xml.filter("kind = 'urlset'").join(seen, "url", "left_semi").select(F.explode("loc").alias("url")).distinct()
+
+
+MAPS = f"map AS (SELECT url, xml, {map_kind(Duck)} AS kind, {map_locations(Duck)} AS loc FROM {corpus.values([(u, x) for u, _, x in SITEMAPS])} t(url, xml))"
+
+
+@query("sitemap_kinds", f"WITH {MAPS} SELECT url, kind, CAST(CASE WHEN kind = 'error' THEN 0 ELSE len(loc) END AS BIGINT) AS locations FROM map")
+def sitemap_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC8: what every fetched sitemap is, and how many locations it names."""
+    xml = unpacked(sitemap_bodies(spark)).withColumn("kind", F.expr(map_kind(Spark)))
+    return xml.select("url", "kind", F.when(F.col("kind") == "error", 0).otherwise(F.size(F.expr(map_locations(Spark)))).cast("long").alias("locations"))
+
+
+def sitemap_bodies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(u, bytearray(gzip.compress(x.encode()) if z else x.encode())) for u, z, x in SITEMAPS], "url string, body binary")
 
 
-@query("sitemap_urls", f"WITH RECURSIVE map AS (SELECT url, xml, contains(xml, '<sitemapindex') AS idx, list_transform(regexp_extract_all(xml, '(?i)<loc>([^<]*)</loc>', 1), lambda l: replace(trim(l), '&amp;', '&')) AS loc FROM {corpus.values([(u, x) for u, _, x in SITEMAPS])} t(url, xml)), walk AS (SELECT '{SITE}/map.xml' AS url UNION SELECT unnest(m.loc) FROM walk w JOIN map m ON m.url = w.url WHERE m.idx) SELECT DISTINCT unnest(m.loc) AS url FROM walk w JOIN map m ON m.url = w.url WHERE NOT m.idx")
+@query("sitemap_urls", f"WITH RECURSIVE {MAPS}, walk AS (SELECT '{SITE}/map.xml' AS url UNION SELECT unnest(m.loc) FROM walk w JOIN map m ON m.url = w.url WHERE m.kind = 'sitemapindex') SELECT DISTINCT unnest(m.loc) AS url FROM walk w JOIN map m ON m.url = w.url WHERE m.kind = 'urlset'")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = spark.createDataFrame([(u, bytearray(gzip.compress(x.encode()) if z else x.encode())) for u, z, x in SITEMAPS], "url string, body binary")
-    return sitemap_locations(maps, f"{SITE}/map.xml")
+    return sitemap_locations(sitemap_bodies(spark), f"{SITE}/map.xml")
 
 
 ROBOTS = [("a.example", "User-agent: *\nSITEMAP: https://a.example/one.xml\nsitemap: https://a.example/two.xml"), ("b.example", "User-agent: *"), ("c.example", None)]
