@@ -98,6 +98,32 @@ def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*key, *counts, (F.col("incoming") - F.col("incoming_content")).alias("incoming_chrome"), "truncated")
 
 
+#: A site's own group of links, which comes before the defaults; the default header is switched off.
+OWN = [{"name": "Top list", "selectors": ["nav ul", "<<<broken"]}]
+_OWN_TOKEN = _TOKEN + r"|<ul[\s>]|</ul>"
+
+
+@query("link_groups", f"WITH {P}, tok AS (SELECT scan, pid, url, unnest(range(0, len(t))) AS i, unnest(t) AS tok FROM (SELECT *, {Duck.every('html', _OWN_TOKEN, 0)} AS t FROM page)), dep AS (SELECT *, CASE WHEN {_depth('nav')} > 0 AND {_depth('ul')} > 0 THEN 'Top list' WHEN {_depth('nav')} > 0 THEN 'nav' WHEN {_depth('footer')} > 0 THEN 'footer' ELSE 'content' END AS region FROM tok) SELECT scan, pid, region, CAST(count(*) AS BIGINT) AS links FROM dep WHERE regexp_matches(tok, '(?i)^<(?:a|area)\\s[^>]*href') GROUP BY ALL")
+def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by the groups in force: the site's own, then the defaults that are left."""
+    groups = dom.chrome_groups(OWN, ("header",))
+    r = documents.over_pages(corpus.pages(spark, sf_dir), lambda html: dom.regions(html, groups), "pos long, href string, text string, region string", ["pos", "href", "text", "region"])
+    return r.groupBy("scan", "pid", "region").agg(F.count(F.lit(1)).alias("links"))
+
+
+#: A site's own rules for questions, one of them no selector; and what they find on the made-up pages.
+RULES = [{"container": "dl", "question": "dt", "answer": "dd"}, {"question": "<<<broken", "answer": "p"}, {"question": "summary", "answer": "details p"}]
+RULED = [("faq.example", 1, "Who runs it?", "A small team of people who like it."), ("faq.example", 1, "Can I leave?", "You can leave at any time you want.")]
+
+
+@query("qa_rules", f"SELECT scan, CAST(pid AS BIGINT) AS pid, question, answer FROM {corpus.values(RULED)} t(scan, pid, question, answer)")
+def qa_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3, T5e: question and answer pairs by the selectors that a site names, in a container or one after another."""
+    pages = corpus.pages(spark, sf_dir).select("scan", "pid", "html").unionByName(spark.createDataFrame(documents.FAQ, "scan string, pid long, url string, html string").drop("url"))
+    pairs = documents.over_pages(pages, lambda html: dom.questions(html, RULES), "extractor string, pos long, question string, answer string", ["extractor", "pos", "question", "answer"])
+    return pairs.filter("extractor = 'rule'").select("scan", "pid", "question", "answer")
+
+
 # --- Ordered and capped lists ---------------------------------------------
 
 
