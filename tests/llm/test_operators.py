@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,58 @@ def test_op4_rounds_over_a_template(spark, monkeypatch):
     assert 1 <= len(rounds) <= 7
 
 
+def test_op4_members_without_partners_are_not_compared(spark, monkeypatch):
+    """Of regions too large for a task only members that may link by their sketches go on, so no text of others moves."""
+    monkeypatch.setattr(jaccard, "MOST", 500)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    compared, measured = [], jaccard.measured
+    cells, within = spark.sparkContext.accumulator(0), jaccard.within_region
+
+    def counted(*a):
+        run = within(*a)
+
+        def wrapped(table):
+            cells.add(table.num_rows)
+            return run(table)
+
+        return wrapped
+
+    monkeypatch.setattr(jaccard, "within_region", counted)
+    monkeypatch.setattr(jaccard, "measured", lambda size: compared.append(size) or measured(size))
+    held = template(40, 200, 10) + [(100, template(40, 200, 10)[3][1] + " more"), (101, "so " + template(40, 200, 10)[3][1])]
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.joined(df, 4, 85).collect()}
+    assert got == {d: 3 if d >= 100 else d for d, _ in held}
+    assert len(compared) <= 2 and cells.value <= 6
+
+
+@pytest.mark.parametrize("percent", [30, 80, 85, 97])
+def test_sketches_rule_out_no_link(percent):
+    rnd = np.random.default_rng(percent)
+    sets = []
+    for _ in range(150):
+        n = int(rnd.integers(1, 60 if rnd.random() < 0.5 else 900))
+        a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        sets += [a] + [np.unique(np.concatenate([a[rnd.random(len(a)) > x * (1 - percent / 100)], rnd.integers(0, 2**64, 1 + int(x * n * (100 - percent)) // 100, dtype=np.uint64)])) for x in (0.2, 0.5, 1.0)]
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    sketches = [jaccard.sketch(s) for s in sets]
+    cut = [[i for i, _ in pairs], [j for _, j in pairs], [len(sets[i]) for i, _ in pairs], [len(sets[j]) for _, j in pairs], [sketches[i] for i, _ in pairs], [sketches[j] for _, j in pairs]]
+    (out,) = jaccard.may_link(percent)([pa.record_batch([pa.array(c) for c in cut], names=["x", "y", "n_x", "n_y", "a", "b"])])
+    passed = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    linked = {(i, j) for i, j in pairs if jaccard.linked(sets[i], sets[j], percent)}
+    assert linked <= passed and len(linked) > 50
+    if percent >= 80:
+        assert len(passed) < len(pairs) / 10
+    for blocks in (1, 3):
+        comp = [k // 8 if k % 8 else -1 for k in range(len(sets))]
+        kept = set()
+        for lo, hi in itertools.combinations_with_replacement(range(blocks), 2):
+            at = [k for k in range(len(sets)) if k % blocks in (lo, hi)]
+            rows = {"s": [0] * len(at), "cid": at, "n": [len(sets[k]) for k in at], "comp": [comp[k] for k in at], "sketch": [sketches[k] for k in at], "block": [k % blocks for k in at]}
+            kept |= set(jaccard.with_partner(percent)(pa.table(rows)).column("cid").to_pylist())
+        assert {k for i, j in linked if comp[i] != comp[j] for k in (i, j)} <= kept
+
+
 def test_op4_null_ids_stay(docs):
     assert jaccard.op4(docs).count() == len(rows())
 

@@ -19,6 +19,11 @@ neighbourhoods, and what makes neighbours is exact:
    each of these goes on alike. Where that doesn't tell documents apart the region stays whole and the number of pivots
    doubles, so rounds stay logarithmic.
 
+What can't link is told from sketches first: the parity of the number of shingles in each of some 2n buckets. Two sets
+differ in no fewer shingles than their sketches do in bits, so pairs whose sketches differ too much, and members of a
+region without a possible partner in another component, go no further; the texts of all others are compared. Sketches
+are a tenth of the texts or less, and of a region of any number of members pairs of blocks are compared side by side.
+
 Links are verified on the sets themselves. Components come from iterated minimum labels with pointer jumping; copies
 are never expanded into pairs.
 
@@ -52,6 +57,8 @@ PERCENT = 85
 MOST = 1 << 20
 #: Pivots that a larger region takes in its first round.
 PIVOTS = 16
+#: Members, and shingles of members, in a block of sketches; a region of more than ``BLOCKS`` blocks is cut first.
+BLOCK, BLOCK_HELD, BLOCKS = 8192, 1 << 24, 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -125,6 +132,72 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each bucket, of which there are 2n to 4n (a power of two, 64 at least)."""
+    buckets = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(blob: bytes, length: int) -> int:
+    """A sketch in as many buckets as one of ``length`` bytes has."""
+    v, bits = int.from_bytes(blob, "little"), 8 * len(blob)
+    while bits > 8 * length:
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return v
+
+
+def may_link(percent: int):
+    """(x, y, n_x, n_y, sketch of x, sketch of y) -> the pairs (x, y) whose sketches don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for m, n, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                short, need = min(len(a), len(b)), least_overlap(m, n, percent)
+                ok.append(need <= min(m, n) and (folded(a, short) ^ folded(b, short)).bit_count() <= m + n - 2 * need)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def with_partner(percent: int):
+    """Of two blocks of a region, or one: the members that may link to one of another component, told by sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+        _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
+        blobs = table.column("sketch").to_pylist()
+        short = min(map(len, blobs))
+        bits = np.array([np.frombuffer(folded(b, short).to_bytes(short, "little"), "<u8") for b in blobs])
+        if block.min() < block.max():
+            some, others = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        else:
+            # Pairs of different components have a member outside the largest one.
+            some, others = np.flatnonzero(comp != np.argmax(np.bincount(comp))), np.arange(len(n))
+        columns = np.ascontiguousarray(bits[others].T)
+        keep = np.zeros(len(n), bool)
+        step = max(1, (1 << 18) // max(len(others), 1))
+        for at in range(0, len(some), step):
+            i = some[at : at + step]
+            total = n[i][:, None] + n[others]
+            # Bits less in which the sketches may differ; below 0 a link is ruled out.
+            need = -(-percent * total // (100 + percent))
+            left = total - 2 * need
+            left[(comp[i][:, None] == comp[others]) | (need > np.minimum(n[i][:, None], n[others]))] = -1
+            for w, column in enumerate(columns):
+                left -= np.bitwise_count(bits[i, w][:, None] ^ column)
+                if w % 4 == 3 and left.max() < 0:
+                    break
+            ok = left >= 0
+            keep[i[ok.any(axis=1)]] = True
+            keep[others[ok.any(axis=0)]] = True
+        return table.select(["s", "cid"]).filter(pa.array(keep))
+
+    return run
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -162,25 +235,35 @@ def to_classes(size: int):
 
 
 def head_signatures(size: int, percent: int, reps):
-    """Batch (id, text) -> the signatures of each of its heads of classes."""
+    """Batch (id, text) -> set and signatures of each of its heads of classes, of other rows empty ones."""
     schemes = Schemes(percent)
 
-    def run(batch: pa.RecordBatch) -> list[np.ndarray]:
+    def run(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
         heads = firsts_in(batch.column(0).to_numpy(zero_copy_only=False), reps.value).tolist()
-        return [schemes.signatures(shingles(t, size)) if head else np.empty(0, np.uint64) for t, head in zip(texts(batch, 1), heads, strict=True)]
+        sets = [shingles(t, size) if head else np.empty(0, np.uint64) for t, head in zip(texts(batch, 1), heads, strict=True)]
+        return [(s, schemes.signatures(s)) for s in sets]
 
     return run
 
 
 def candidates(size: int, percent: int, reps, again):
-    """(signature, document) for the signatures that some other document may have among its own."""
+    """(signature, document) for the signatures that some other document may have among its own.
+
+    The first of a document's rows has the size of its set and its sketch too.
+    """
     signatures = head_signatures(size, percent, reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s[bits.holds_top(again.value, s)] for s in signatures(batch)]
+            made = signatures(batch)
+            found = [s[bits.holds_top(again.value, s)] for _, s in made]
             who = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in found])
-            yield pa.record_batch([pa.array(signed(np.concatenate([np.empty(0, np.uint64), *found]))), pa.array(who)], names=["s", "cid"])
+            n, sketches = [], []
+            for (s, _), f in zip(made, found, strict=True):
+                if len(f):
+                    n += [len(s)] + [None] * (len(f) - 1)
+                    sketches += [sketch(s)] + [None] * (len(f) - 1)
+            yield pa.record_batch([pa.array(signed(np.concatenate([np.empty(0, np.uint64), *found]))), pa.array(who), pa.array(n, pa.int64()), pa.array(sketches, pa.binary())], names=["s", "cid", "n", "sketch"])
 
     return run
 
@@ -281,13 +364,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cut_regions(large: DataFrame, small: DataFrame, distances, n_pivots: int, reach: float) -> tuple[DataFrame, DataFrame]:
+def cut_regions(large: DataFrame, small: DataFrame, with_partners, distances, n_pivots: int, reach: float) -> tuple[DataFrame, DataFrame]:
     """One round over regions too large for a task: links with some ``n_pivots`` pivots each, and the regions left.
 
-    Documents go to the Voronoi region of their nearest pivot, and to those of all pivots that are not further than it
+    Members without a possible partner leave first, and only what is still too large is cut. Documents go to the Voronoi region of their nearest pivot, and to those of all pivots that are not further than it
     by more than ``reach``; two linked documents meet in the home of either. A region that would more than double that
     way stays whole.
     """
+    large = with_partners(large)
+    small = small.select("s", "cid", "n_shingles").unionByName(large.filter(F.col("held") <= MOST).select("s", "cid", "n_shingles"))
+    large = large.filter(F.col("held") > MOST)
+    if large.limit(1).count() == 0:
+        return large.select(F.col("cid").alias("x"), F.col("cid").alias("y")), stored(small)
     draw = F.pmod(F.xxhash64("cid", "s", F.lit(n_pivots)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     least = large.groupBy("s").agg(F.min("cid").alias("cid"))
     pivots = stored(large.filter(draw * F.col("members") < n_pivots).select("s", "cid").unionByName(least).distinct())
@@ -300,7 +388,7 @@ def cut_regions(large: DataFrame, small: DataFrame, distances, n_pivots: int, re
     whole = cells.groupBy("s").agg((F.count(F.lit(1)) > 2 * F.max("members")).alias("whole"))
     split = cells.join(whole.filter("NOT whole"), "s", "left_semi").select(F.col("cell").alias("s"), "cid", "n_shingles")
     same = rest.join(whole.filter("whole"), "s", "left_semi").select("s", "cid", "n_shingles")
-    return known.filter("near").select("x", "y"), stored(small.select("s", "cid", "n_shingles").unionByName(split).unionByName(same))
+    return known.filter("near").select("x", "y"), stored(small.unionByName(split).unionByName(same))
 
 
 def told_apart(rows: DataFrame) -> bool:
@@ -326,8 +414,10 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
     classes = stored(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.min("doc_id").alias("class_id")))
     reps = bits.bitmap(classes, F.col("cid"), classes.count())
     signatures = head_signatures(size, percent, reps)
-    again = bits.repeated(keyed, lambda batch: np.concatenate([np.empty(0, np.uint64), *signatures(batch)]))
-    found = stored(keyed.mapInArrow(candidates(size, percent, reps, again), "s long, cid long"))
+    again = bits.repeated(keyed, lambda batch: np.concatenate([np.empty(0, np.uint64), *(s for _, s in signatures(batch))]))
+    found = stored(keyed.mapInArrow(candidates(size, percent, reps, again), "s long, cid long, n long, sketch binary"))
+    sketches = found.filter("sketch is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    found = found.select("s", "cid")
     pivots = found.groupBy("s").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot < last").select("s", "pivot")
     touching = stored(found.join(pivots, "s").filter("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("agree")))
 
@@ -346,17 +436,35 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
         union = F.col("n_x") + F.col("n_y") - F.col("common")
         return made.select("x", "y", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("near"))
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that link."""
+        x, y = (sketches.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "xy")
+        met = pairs.join(x, "x").join(y, "y").select("x", "y", "n_x", "n_y", "sketch_x", "sketch_y")
+        return distances(stored(met.mapInArrow(may_link(percent), "x long, y long"))).filter("near").select("x", "y")
+
+    def with_partners(left: DataFrame) -> DataFrame:
+        """The regions without the members that can link to none of another component; ``members`` and ``held`` anew."""
+        n_blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_HELD), F.lit(1)).cast("long")
+        left = left.withColumn("blocks", n_blocks)
+        dealt = left.filter(F.col("blocks") <= BLOCKS).withColumn("block", F.pmod(F.xxhash64("cid", "s"), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cells = dealt.select("s", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", "comp", "block").join(sketches, "cid")
+        some = cells.groupBy("s", "lo", "hi").applyInArrow(with_partner(percent), "s long, cid long").distinct()
+        kept = left.join(some, ["s", "cid"], "left_semi").unionByName(left.filter(F.col("blocks") > BLOCKS)).select("s", "cid", "n_shingles", "comp")
+        kept = stored(kept)
+        return stored(kept.join(kept.groupBy("s").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("held")), "s"))
+
     def labelled(rows: DataFrame, labels: DataFrame, name: str, comp: str) -> DataFrame:
         of = labels.select(F.col("cid").alias(name), F.col("comp").alias(comp))
         return rows.join(of, name, "left").withColumn(comp, F.coalesce(comp, name))
 
     homes = stored(touching.groupBy("cid").agg(F.max(F.struct("agree", (-F.xxhash64("pivot")).alias("_h"), "pivot")).alias("h")).select(F.col("cid").alias("x"), F.col("h.pivot").alias("y")))
-    links = stored(distances(homes).filter("near").select("x", "y"))
+    links = stored(near(homes))
     labels = components(links)
     # Boundary documents: their other pivots, where components still differ.
     others = touching.select(F.col("cid").alias("x"), F.col("pivot").alias("y")).join(homes, ["x", "y"], "left_anti")
     others = labelled(labelled(others, labels, "x", "c_x"), labels, "y", "c_y").filter("c_x <> c_y").select("x", "y")
-    links = stored(links.unionByName(distances(stored(others)).filter("near").select("x", "y")))
+    links = stored(links.unionByName(near(stored(others))))
     labels = components(links)
 
     # A pivot has met its region and leaves it.
@@ -371,10 +479,11 @@ def grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
         large = left.filter(F.col("held") > MOST)
         if large.limit(1).count() == 0:
             break
-        met, left = cut_regions(large, left.filter(F.col("held") <= MOST), distances, n_pivots, 2 * (1 - percent / 100) + 1e-9)
+        met, left = cut_regions(large, left.filter(F.col("held") <= MOST), with_partners, distances, n_pivots, 2 * (1 - percent / 100) + 1e-9)
         links = stored(links.unionByName(met))
         labels = components(links)
         n_pivots *= 2
+    left = with_partners(left)
     inner = left.select("s", "cid", "comp").join(held(left.select("cid")), "cid").groupBy("s").applyInArrow(within_region(size, percent), "x long, y long")
     inner = stored(inner)
     if inner.limit(1).count():
