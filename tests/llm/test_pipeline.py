@@ -123,3 +123,19 @@ def test_run_against_a_plain_reading(spark, docs, tmp_path):
     lat = pieces.lattice(pieces.MODEL)
     want = sorted(((d, *pieces.encode_row(lat, t, pieces.N_BEST)) for d, t in mixed(held)), key=repr)
     assert sorted((tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()), key=repr) == want and len(want) > 8
+
+
+def test_pieces_return_the_segmentations(docs):
+    """The n best themselves, not their digests only."""
+    lat = pieces.lattice(pieces.MODEL)
+    texts = [r.text for r in docs.select("text").collect()]
+    got = [r for r in pieces.segmented(docs).collect()]
+    assert collections.Counter(lat.decode(r.nbest_ids[0]) for r in got) == collections.Counter(t or "" for t in texts)
+    price = lambda ids: sum(lat.score[i] for i in ids)
+    for r in got:
+        assert len(r.nbest_ids) == r.n_best == len(set(map(tuple, r.nbest_ids))) and len(r.nbest_ids[0]) == r.n_pieces
+        assert [hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest() for ids in r.nbest_ids] == r.nbest_sha256.split(",")
+        assert r.ids_sha256 == r.nbest_sha256.split(",")[0] and r.second_sha256 == (r.nbest_sha256.split(",") + [None])[1]
+        assert len({lat.decode(ids) for ids in r.nbest_ids}) == 1
+        if all(i in lat.score for ids in r.nbest_ids for i in ids):
+            assert all(abs(price(ids) - float(x)) < 0.01 for ids, x in zip(r.nbest_ids, r.nbest_scores.split(","), strict=True))
