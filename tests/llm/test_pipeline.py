@@ -9,7 +9,7 @@ import re
 import pytest
 
 from tests.llm.test_operators import DDL, WORD, brute_rewritten, brute_terms, rows
-from webstrata.llm import pieces, quality
+from webstrata.llm import mix, pieces, quality
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -125,6 +125,18 @@ def test_run_against_a_plain_reading(spark, docs, tmp_path):
     assert sorted((tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()), key=repr) == want and len(want) > 8
 
 
+def test_mix_without_shuffling_texts(spark, docs, monkeypatch):
+    """Last places of sources give the same rows as the plan joined back, and texts pass no exchange."""
+    narrow = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(9000 + i, f"word {i} " * (i % 7), "en", f"s{i % 3}" if i % 4 else None, 1) for i in range(300)], docs.schema))
+    narrow = narrow.localCheckpoint()
+    out = mix.repeat_taken(narrow)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = collections.Counter(tuple(r) for r in out.collect())
+    monkeypatch.setattr(mix, "SOURCES", -1)
+    assert collections.Counter(tuple(r) for r in mix.repeat_taken(narrow).collect()) == got and len(got) > 100 and max(got.values()) > 1
+
+
 def test_pieces_return_the_segmentations(docs):
     """The n best themselves, not their digests only."""
     lat = pieces.lattice(pieces.MODEL)

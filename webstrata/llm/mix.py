@@ -27,6 +27,8 @@ HASH_RANGES_HEX = 3
 #: Steps that a stretch of finish times is cut into, and the rows below which it is ordered as it is.
 STEPS = 4096
 FEW = 50_000
+#: Sources whose last places go to every task.
+SOURCES = 100_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -57,10 +59,13 @@ def finish_times(cap: int) -> Column:
     return F.array(*(F.struct(((F.col("cum") + F.lit(e) * F.col("source_size")) / F.col("target")).alias("at"), F.lit(e).alias("round")) for e in range(cap)))
 
 
+def shuffle_key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, rounds (times the document is taken), and the ``extra`` columns."""
-    shuffle_key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))))
-    rows = docs.select("doc_id", "source", *extra, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), shuffle_key.alias("u"))
+    """doc_id, size, source_size, target, taken, rounds (times the document is taken), source, u (its shuffle key), and the ``extra`` columns."""
+    rows = docs.select("doc_id", "source", *extra, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), shuffle_key(seed).alias("u"))
     rows = materialise(rows.withColumn("size", F.coalesce("size", F.lit(0).cast("long"))).withColumn("part", F.substring("u", 1, HASH_RANGES_HEX)))
     key = ["source", "part"]
     sums = rows.groupBy(*key).agg(F.sum("size").alias("part_size"))
@@ -80,7 +85,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, s
     rounds = F.size(F.filter(finish_times(cap), lambda x: x["at"].isNotNull() & (order(x) <= last))) if end else F.lit(0)
     live = (F.col("size") > 0) & (F.col("target") > 0)
     queue = queue.withColumn("rounds", F.when(live, rounds).otherwise(F.lit(0)))
-    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), "rounds", *extra)
+    return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), "rounds", "source", "u", *extra)
 
 
 def cutoff(queue: DataFrame, cap: int) -> tuple | None:
@@ -120,13 +125,27 @@ def op9(docs: DataFrame) -> DataFrame:
 def repeat_taken(docs: DataFrame) -> DataFrame:
     """The mix itself: every taken document, as often as it is taken, with the input's columns.
 
-    The plan is made over numbers alone and joined back by doc_id and a hash of the row. Identical rows share one
-    entry: together they are repeated as often as the plan takes them all.
+    The plan is made over numbers alone. In each round a source is taken up to some place in its shuffled order, so the
+    last places, one a source and round, tell of every row by itself how often it is taken, and no text is shuffled.
+    Where rows share a place and only some are taken (one doc_id, or none and one text), or sources are more than
+    ``SOURCES``, the plan is joined back by doc_id and a hash of the row. There identical rows share one entry: together
+    they are repeated as often as the plan takes them all.
     """
+    cap = 3
     row_hash = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    plan = mixed(docs.select("doc_id", "text", "source", row_hash.alias("_rh")), extra=("_rh",))
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_rh").alias("_h")).agg(F.sum("rounds").alias("_rounds"), F.count(F.lit(1)).alias("_same")).filter("_rounds > 0")
+    plan = mixed(docs.select("doc_id", "text", "source", row_hash.alias("_rh")), cap=cap, extra=("_rh",))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    place = lambda u: F.struct(u.alias("u"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"))
+    at = place(F.col("u"))
+    last = plan.filter("rounds > 0").groupBy(F.col("source").alias("_source")).agg(*(F.max(F.when(F.col("rounds") > e, at)).alias(f"_last{e}") for e in range(cap)))
+    last = materialise(last)
+    torn = plan.filter("size > 0").groupBy("source", at.alias("_at")).agg(F.min("rounds").alias("lo"), F.max("rounds").alias("hi")).filter("lo < hi")
+    if last.count() <= SOURCES and torn.limit(1).count() == 0:
+        rows = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(row, F.col("source").alias("_s"), place(shuffle_key(SEED)).alias("_at"))
+        rows = rows.join(F.broadcast(last), F.col("_s").eqNullSafe(F.col("_source")))
+        rounds = sum((F.coalesce(F.col("_at") <= F.col(f"_last{e}"), F.lit(False)).cast("int") for e in range(cap)), F.lit(0))
+        return rows.select("_row", rounds.alias("_rounds")).filter("_rounds > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_rounds")))).select("_row.*")
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_rh").alias("_h")).agg(F.sum("rounds").alias("_rounds"), F.count(F.lit(1)).alias("_same")).filter("_rounds > 0")
     held = docs.select(F.col("doc_id").alias("_doc"), row_hash.alias("_rh"), row).join(plan, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_rh") == F.col("_h")))
     once = held.filter("_same = 1").unionByName(held.filter("_same > 1").dropDuplicates(["_doc", "_rh"]))
     return once.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rounds")))).select("_row.*")
