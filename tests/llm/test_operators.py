@@ -210,6 +210,35 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch, small):
     assert all(clean[i] == texts[i] for i in range(3, 43))
 
 
+@pytest.mark.parametrize("most", [bits.MOST, 0])
+def test_op3_entities_and_pairs_of_one_document(spark, monkeypatch, most):
+    """However few documents show a pair, it counts, and its term is told in every text, whether or not the bitmap tells entities apart."""
+    monkeypatch.setattr(bits, "MOST", most)
+    rnd = random.Random(21)
+    held = [(r[0], r[1]) for r in rows()]
+    for i in range(150):
+        who = [f"own{i}@mail.example"] * (i % 5 == 0) + [f"p{i % 3}@mail.example"] * (i % 4 == 0)
+        held.append((1000 + i, " ".join([*(f"word{rnd.randint(0, 40)}" for _ in range(12)), *(f"rare{rnd.randint(0, 150)}" for _ in range(3)), *who])))
+    n_e, n_t, n_et = (collections.Counter() for _ in range(3))
+    for _, t in held:
+        spans = brute_pii(t or "")
+        n_e.update(entities := {entity_of(k, t[a:b]) for a, k, b in spans})
+        n_t.update({w.lower() for w in re.findall(r"\w+", t or "")})
+        n_et.update(itertools.product(entities, {m[0].lower() for m in re.finditer(r"\w+", t or "") if len(m[0]) >= 3 and not m[0].isdigit() and not any(a < m.end() and m.start() < b for a, _, b in spans)}))
+    share = collections.defaultdict(float)
+    for (e, w), n in n_et.items():
+        share[w] = max(share[w], math.log2(len(held) * n / (n_e[e] * n_t[w])) / math.log2(len(held) / n_e[e]))
+    terms = {w: x >= 1 - 1e-9 for w, x in share.items() if x >= 0.8}
+    supported = brute_terms([t for _, t in held])
+    assert all(terms[w] == gone for w, gone in supported.items()) and len(set(terms.values())) == 2 and len(terms) > len(supported) + 20
+    want = collections.Counter()
+    for d, t in held:
+        marked = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_marked(t or "", terms) if k > 3]
+        want[d, len(marked), ",".join(marked), ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_marked(t or "", supported)) if brute_pii(t or "") else ""] += 1
+    df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    assert collections.Counter((r.doc_id, r.n_disclosing, r.disclosing, r.spans) for r in pii.op3(df).collect()) == want
+
+
 def brute_components(size, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

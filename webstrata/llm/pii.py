@@ -5,16 +5,18 @@ that may give it away. Over the whole corpus, with n(x) counting documents, a te
 
     PMI(e; t) = log2(N n(e,t) / (n(e) n(t)))   of the   IC(e) = log2(N / n(e))   bits that identify the entity;
 
-from ``THRESHOLD`` of IC on, given that at least ``SUPPORT`` documents show the pair, every occurrence of the term
-becomes a span of its own: ``term`` if it is to be generalised, ``gone`` if it is to be removed because it determines
-an entity (PMI = IC). Base spans stay as they are. ``sanitised`` marks the terms in every text; ``op3`` reports them
-for documents with an entity only.
-
-Scale: narrow passes. Documents shrink to spans and entities in the first; entities of fewer than ``SUPPORT`` documents
-have no pairs to count, and a bitmap keeps them out; pairs and entities are counted by partial aggregation, so an entity
-in a third of all documents meets as one row per task and pair; the count of documents per term covers the candidate
-terms (a bitmap keeps out the others). Flagged terms are sent to the tasks up to ``SMALL`` of them and are met in a join
-beyond.
+from ``THRESHOLD`` of IC on, every occurrence of the term becomes a span of its own: ``term`` if it is to be
+generalised, ``gone`` if it is to be removed because it determines an entity (PMI = IC). Base spans stay as they are.
+``op3`` reports all these words of every text as ``disclosing``. Its ``spans`` hold those of documents with an entity
+that at least ``SUPPORT`` documents show together with one; ``sanitised`` marks the terms with that support in every
+text.
+
+Scale: narrow passes. Documents shrink to spans and entities in the first. Entities of one document, kept apart by a
+bitmap, are not paired with the words: such a document marks its words as seen with one, which says all about their
+pairs. Pairs and entities of several documents are counted by partial aggregation, so an entity in a third of all
+documents meets as one row per task and pair; the count of documents per term covers the candidate terms (bitmaps
+keep out most others). Flagged terms meet their places in a join, at any number; ``sanitised`` sends up to
+``SMALL`` of them to the tasks.
 
 Defined results: a null text is an empty one; repeated rows are documents of their own; null doc_ids are kept; ties in
 start follow the order of kinds; texts of any length are scanned in linear time; an empty table gives an empty result;
@@ -34,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import bits
-from webstrata.session import materialise
+from webstrata.session import materialise, small_batches
 
-KINDS = ("email", "ip", "card", "phone", "term", "gone")
+#: The last two again: terms without support.
+KINDS = ("email", "ip", "card", "phone", "term", "gone", "term", "gone")
 SUPPORT = 2
 THRESHOLD = 0.8
 #: Up to so many terms (some 10 MB) go to every task; beyond, they are joined.
@@ -96,14 +99,14 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def words(t: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of the words of a text that no base span touches."""
+def words(t: str, spans: list[tuple[int, int, int, str]], wanted=None) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text that no base span touches; of the wanted ones, if told."""
     ends, end = [], 0
     for _, _, b, _ in spans:
         end = max(end, b)
         ends.append(end)
     i = 0
-    for m in TERM.finditer(t):
+    for m in TERM.finditer(t) if wanted is None else [m for m in TERM.finditer(t) if m[0].lower() in wanted]:
         a, b = m.span()
         while i < len(spans) and ends[i] <= a:
             i += 1
@@ -131,34 +134,55 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(list(c), f.type) for c, f in zip(columns, list(FOUND)[2:], strict=True))], schema=FOUND)
 
 
-def together(shared):
-    """Texts -> the entities of each that other documents may show too, and its terms."""
+def together(shared, single: bool):
+    """Texts -> the entities of each that other documents may show too, whether it has others, and its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            es, ts = [], []
+            es, alone, ts = [], [], []
             for t in batch.column(0).to_pylist():
                 if t and (spans := base_spans(t)):
                     e = np.array(sorted({entity(s[1], s[3]) for s in spans}), np.int64)
-                    e = e[bits.holds(shared.value, e.view(np.uint64))]
-                    if len(e):
-                        es.append(e.tolist())
+                    held = bits.holds(shared.value, e.view(np.uint64))
+                    if single or held.any():
+                        es.append(e[held].tolist())
+                        alone.append(not held.all())
                         ts.append(sorted({w for w, _, _ in words(t, spans)}))
-            yield pa.record_batch([pa.array(es, pa.list_(pa.int64())), pa.array(ts, pa.list_(pa.string()))], names=["e", "t"])
+            yield pa.record_batch([pa.array(es, pa.list_(pa.int64())), pa.array(alone, pa.bool_()), pa.array(ts, pa.list_(pa.string()))], names=["e", "alone", "t"])
 
     return run
 
 
-def count_terms(wanted):
-    """Documents per term, counted within the task first; only terms in the bitmap leave it."""
+def term_hash(t: str) -> int:
+    return int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array([term_hash(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["h"])
+
+
+def bitmaps(terms: DataFrame) -> tuple:
+    """Of the terms' hashes, by either half: one alone passes one in some twenty of all other words."""
+    h = materialise(terms.select("t").mapInArrow(hashed, "h long"))
+    n = h.count()
+    return bits.bitmap(h, F.col("h"), n), bits.bitmap(h, F.shiftrightunsigned("h", 32), n)
+
+
+def passing(wanted: tuple, terms: list[str]) -> list[bool]:
+    h = np.array([term_hash(t) for t in terms], np.int64).view(np.uint64)
+    return (bits.holds(wanted[0].value, h) & bits.holds(wanted[1].value, h >> np.uint64(32))).tolist()
+
+
+def count_terms(wanted: tuple):
+    """Documents per term, counted within the task first; only terms in the bitmaps leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
             terms = list(counts)
-            held = bits.holds(wanted.value, np.array([term_hash(t) for t in terms], np.int64).view(np.uint64)).tolist()
-            terms = [t for t, ok in zip(terms, held, strict=True) if ok]
+            terms = [t for t, ok in zip(terms, passing(wanted, terms), strict=True) if ok]
             out = pa.record_batch([pa.array(terms, pa.string()), pa.array([counts[t] for t in terms], pa.int64())], names=["t", "n"])
             counts.clear()
             return out
@@ -180,32 +204,42 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(e, t, share): pairs whose term gives away at least ``threshold`` of the entity's information."""
+    """(e, t, n_et, share): pairs of ``support`` documents whose term gives away at least ``threshold`` of the entity's information.
+
+    With a support of 1, the entities that only one document shows are a null e together: their pairs with a term are
+    all alike (n_et = n_e = 1).
+    """
     total = found.count()
     # An entity in fewer than ``support`` documents has no pair in so many.
-    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
+    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= max(support, 2))
     entities = materialise(entities)
     shared = bits.bitmap(entities, F.col("e"), entities.count())
-    seen = docs.select("text").mapInArrow(together(shared), "e array<long>, t array<string>")
+    seen = docs.select("text").mapInArrow(together(shared, support < 2), "e array<long>, alone boolean, t array<string>")
     # A null entity stands for any: it counts the documents with entities that have the term.
-    seen = seen.select(F.explode(F.array_append("e", F.lit(None).cast("long"))).alias("e"), "t").select("e", F.explode("t").alias("t"))
-    counted = materialise(seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).filter((F.col("n_et") >= support) | F.col("e").isNull()))
+    seen = seen.select(F.explode(F.array_append("e", F.lit(None).cast("long"))).alias("e"), "alone", "t").select("e", "alone", F.explode("t").alias("t"))
+    counted = seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.max("alone").alias("alone"))
+    counted = materialise(counted.filter((F.col("n_et") >= support) | F.col("e").isNull()))
     pmi = lambda n_t: F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e").cast("double") * n_t))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     # No term is in fewer documents than in those with entities: what falls short by that count can't disclose.
     least = counted.filter("e is null").select("t", F.col("n_et").alias("least"))
-    pairs = counted.filter("e is not null").join(entities, "e").join(least, "t")
+    # The bitmap may hold an entity of one document: it has no count.
+    pairs = counted.filter("e is not null").join(entities, "e", "left").select("e", "t", "n_et", F.coalesce("n_e", F.lit(1)).alias("n_e"))
+    if support < 2:
+        one = F.lit(1).cast("long")
+        pairs = pairs.union(counted.filter("e is null and alone").select("e", "t", one.alias("n_et"), one.alias("n_e")))
+    pairs = pairs.join(least, "t")
     pairs = materialise(pairs.filter((ic > 0) & (pmi(F.col("least")) >= ic * (threshold - 1e-9))).select("e", "t", "n_et", "n_e"))
-    terms = materialise(pairs.select("t").distinct().mapInArrow(hashed, "h long"))
-    wanted = bits.bitmap(terms, F.col("h"), terms.count())
+    wanted = bitmaps(pairs.select("t").distinct())
     n_t = docs.select("text").mapInArrow(count_terms(wanted), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     scored = pairs.join(n_t, "t").withColumn("share", F.when(ic > 0, pmi(F.col("n_t")) / ic))
-    return scored.filter(F.col("share") >= threshold).select("e", "t", "share")
+    return scored.filter(F.col("share") >= threshold).select("e", "t", "n_et", "share")
 
 
 def flagged_terms(pairs: DataFrame) -> DataFrame:
-    """(t, k): every disclosing term and its kind, the stronger of all its entities."""
-    return materialise(pairs.groupBy("t").agg(F.when(F.max("share") >= 1.0 - 1e-9, F.lit(5)).otherwise(F.lit(4)).alias("k")))
+    """(t, k): every disclosing term and its kind, the stronger of all its entities; two more without support."""
+    kind = F.when(F.max("share") >= 1.0 - 1e-9, F.lit(5)).otherwise(F.lit(4))
+    return materialise(pairs.groupBy("t").agg((kind + F.when(F.max("n_et") < SUPPORT, F.lit(2)).otherwise(F.lit(0))).alias("k")))
 
 
 def few_terms(flagged: DataFrame) -> dict[str, int] | None:
@@ -214,48 +248,42 @@ def few_terms(flagged: DataFrame) -> dict[str, int] | None:
 
 
 def term_spans(t: str, spans: list[tuple[int, int, int, str]], kinds: dict[str, int]) -> list[tuple[int, int, int]]:
-    return [(a, kinds[w], b) for w, a, b in words(t, spans) if w in kinds]
+    return [(a, kinds[w], b) for w, a, b in words(t, spans, kinds)]
 
 
-def term_hash(t: str) -> int:
-    return int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([pa.array([term_hash(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["h"])
-
-
-def occurrences(kept, everywhere: bool):
-    """(doc_id, th, text) -> (doc_id, th, term, start, end) of the words in the bitmap."""
+def occurrences(kept: tuple):
+    """(doc_id, th, text) -> (doc_id, th, term, start, end) of the words in the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        size = 0
         for batch in batches:
             at, ts, starts, ends = [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                spans = base_spans(t) if t else []
-                if t and (spans or everywhere):
-                    found = list(words(t, spans))
-                    each = list({w for w, _, _ in found})
-                    held = bits.holds(kept.value, np.array([term_hash(w) for w in each], np.int64).view(np.uint64)).tolist()
-                    held = {w for w, ok in zip(each, held, strict=True) if ok}
-                    for w, a, b in found:
-                        if w in held:
-                            at.append(i)
-                            ts.append(w)
-                            starts.append(a)
-                            ends.append(b)
+                each = {w.lower() for w in TERM.findall(t)} if t else set()
+                new = [w for w in each if w not in known]
+                known.update(zip(new, passing(kept, new), strict=True))
+                size += sum(map(len, new)) + 100 * len(new)
+                if held := {w for w in each if known[w]}:
+                    for w, a, b in words(t, base_spans(t), held):
+                        at.append(i)
+                        ts.append(w)
+                        starts.append(a)
+                        ends.append(b)
+                if size > 20_000_000:
+                    known.clear()
+                    size = 0
             at = pa.array(at, pa.int64())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(ts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["d", "h", "t", "a", "b"])
 
     return run
 
 
-def with_terms(docs: DataFrame, found: DataFrame, flagged: DataFrame, everywhere: bool) -> DataFrame:
+def with_terms(docs: DataFrame, found: DataFrame, flagged: DataFrame) -> DataFrame:
     """``found`` with ``terms``: the start, kind and end of disclosing words. Terms meet by a join, at any number."""
-    kept = bits.bitmap(flagged.select("t").mapInArrow(hashed, "h long"), F.col("h"), flagged.count())
+    kept = bitmaps(flagged)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    hits = rows.mapInArrow(occurrences(kept, everywhere), "d long, h long, t string, a int, b int").join(flagged, "t")
+    hits = rows.mapInArrow(occurrences(kept), "d long, h long, t string, a int, b int").join(flagged, "t")
     hits = hits.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("a", "k", "b"))).alias("terms"))
     return found.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left").drop("d", "h")
 
@@ -266,48 +294,31 @@ def all_spans(base: str, terms: list | None) -> list[tuple[int, int, int]]:
 
 
 COUNTS = ("doc_id", "n_email", "n_ip", "n_card", "n_phone")
-TERMS = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32())]))
-RESULT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long"
+RESULT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, n_disclosing long, disclosing string"
 
 
 def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, terms = batch.column("base").to_pylist(), batch.column("terms").to_pylist()
+        base, terms = batch.column("base").to_pylist(), [x or [] for x in batch.column("terms").to_pylist()]
+        told = [[y for y in x if y["k"] < 6] if b else [] for b, x in zip(base, terms, strict=True)]
         yield pa.record_batch(
             [
                 *(batch.column(c) for c in COUNTS),
                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
-                pa.array([joined(all_spans(b, x)) for b, x in zip(base, terms, strict=True)], pa.string()),
-                pa.array([len(x or []) for x in terms], pa.int64()),
+                pa.array([joined(all_spans(b, x)) for b, x in zip(base, told, strict=True)], pa.string()),
+                pa.array([len(x) for x in told], pa.int64()),
+                pa.array([len(x) for x in terms], pa.int64()),
+                pa.array([joined(all_spans("", x)) for x in terms], pa.string()),
             ],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms"],
+            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms", "n_disclosing", "disclosing"],
         )
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     found = scanned(docs)
-    flagged = flagged_terms(disclosing(docs, found))
-    kinds = few_terms(flagged)
-    if kinds is None:
-        out = with_terms(docs, found, flagged, everywhere=False).select(*COUNTS, "base", "terms")
-    else:
-
-        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for t in batch.column(1).to_pylist():
-                    spans = base_spans(t) if t else []
-                    n = Counter(s[1] for s in spans)
-                    terms = [dict(zip("akb", x, strict=True)) for x in term_spans(t, spans, kinds)] if spans else []
-                    rows.append((n[0], n[1], n[2], n[3], joined([s[:3] for s in spans]), terms))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.record_batch([batch.column(0), *(pa.array(list(c), f) for c, f in zip(columns, [pa.int64()] * 4 + [pa.string(), TERMS], strict=True))], names=[*COUNTS, "base", "terms"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return result(marked(batches))
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT_DDL)
-    return out.mapInArrow(result, RESULT_DDL)
+    flagged = flagged_terms(disclosing(docs, found, support=1))
+    return with_terms(docs, found, flagged).select(*COUNTS, "base", "terms").mapInArrow(result, RESULT_DDL)
 
 
 def rewritten(t: str, spans: list[tuple[int, int, int]]) -> str:
@@ -347,7 +358,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
         return plain.mapInArrow(run, docs.schema)
 
-    spans = with_terms(docs, found, flagged, everywhere=True).filter("base <> '' or terms is not null").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    spans = with_terms(docs, found, flagged).filter("base <> '' or terms is not null").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
     keyed = plain.withColumn("_th", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
