@@ -146,6 +146,17 @@ def test_chunks():
     assert dom.chunks("<body>" + "plain " * 10 + "</body>")[0][1] is None
 
 
+def test_chunks_and_answers_are_whole():
+    """No text below a heading ends early, however long it is."""
+    long = "word " * 2000 + "end"
+    assert dom.chunks(f"<h1>T</h1><p>{long}</p>")[0][2] == long
+    assert dom.chunks(f"<body>{long}</body>")[0][2] == long
+    assert len(documents._chunks_sql().split("substr(")) == 1
+    asked = f"<details><summary>Q?</summary>{long}</details><dl><dt>Why?</dt><dd>{long}</dd></dl><h2>Why?</h2><p>{long}</p>"
+    ruled = dom.questions(asked, [{"container": "dl", "question": "dt", "answer": "dd"}])
+    assert [(p[0], p[3] == long) for p in ruled] == [(e, True) for e in ("details", "dl", "heading", "rule")]
+
+
 def test_queue_never_runs_more_than_it_may():
     """A job asked to pause keeps its place until its gate; another starts only then, and it goes on before new ones."""
     import threading

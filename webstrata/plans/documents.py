@@ -76,11 +76,11 @@ def _chunks_sql() -> str:
 
     main, body = Duck.ext(clean, r"(?i)<main\b[^>]*>([\s\S]*?)</main>"), r"(?i)<body[^>]*>([\s\S]*)"
     return f"""WITH {P}, c AS (SELECT scan, pid, unnest(range(2, len(s) + 1)) AS i, unnest(s[2:]) AS part FROM (SELECT scan, pid, regexp_split_to_array({clean}, '(?i)<h[1-3]\\b[^>]*>') AS s FROM page)),
-t AS (SELECT scan, pid, i, {text(Duck.ext('part', r'(?i)^([\s\S]*?)</h[1-3]'))} AS heading, substr({text(Duck.ext('part', r'(?i)^[\s\S]*?</h[1-3]\s*>([\s\S]*)$'))}, 1, {dom.CHUNK}) AS text FROM c),
+t AS (SELECT scan, pid, i, {text(Duck.ext('part', r'(?i)^([\s\S]*?)</h[1-3]'))} AS heading, {text(Duck.ext('part', r'(?i)^[\s\S]*?</h[1-3]\s*>([\s\S]*)$'))} AS text FROM c),
 k AS (SELECT * FROM t WHERE heading <> '' AND length(text) >= {2 * dom.LEAST}),
 b AS (SELECT scan, pid, CASE WHEN {main} <> '' THEN {text(main, False)} WHEN {Duck.like(clean, '(?i)<body')} THEN {text(Duck.ext(clean, body), False)} ELSE {text(clean, False)} END AS text FROM page)
 SELECT scan, pid, CAST(row_number() OVER (PARTITION BY scan, pid ORDER BY i) - 1 AS BIGINT) AS pos, heading, text FROM k
-UNION ALL SELECT scan, pid, 0, NULL, substr(text, 1, {dom.CHUNK}) FROM b WHERE length(text) >= {2 * dom.LEAST} AND NOT EXISTS (SELECT 1 FROM k WHERE k.scan = b.scan AND k.pid = b.pid)"""
+UNION ALL SELECT scan, pid, 0, NULL, text FROM b WHERE length(text) >= {2 * dom.LEAST} AND NOT EXISTS (SELECT 1 FROM k WHERE k.scan = b.scan AND k.pid = b.pid)"""
 
 
 @query("page_chunks", _chunks_sql())
