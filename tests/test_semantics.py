@@ -157,6 +157,12 @@ def test_chunks_and_answers_are_whole():
     assert [(p[0], p[3] == long) for p in ruled] == [(e, True) for e in ("details", "dl", "heading", "rule")]
 
 
+def test_chunks_keep_references_without_semicolon():
+    html = "<h1>One&amp; two&amp</h1><p>" + "word " * 10 + "&lt;b&gt; &copy &am &ampx; a&b</p>"
+    assert dom.chunks(html) == [(0, "One& two&amp", "word " * 10 + "<b> &copy &am &ampx; a&b")]
+    assert dom.squeeze("\ufeff a\u00a0\u3000b\n") == "a b"
+
+
 def test_queue_never_runs_more_than_it_may():
     """A job asked to pause keeps its place until its gate; another starts only then, and it goes on before new ones."""
     import threading
