@@ -12,6 +12,7 @@ from webstrata.jobs import Queue
 from webstrata.operators import dom
 from webstrata.operators import extract as X
 from webstrata.plans import access, assets, crawl, dashboard, documents, findings, graph, rating
+from webstrata.plans.catalog import CATALOG
 from webstrata.sources import captures, corpus
 from webstrata.streaming import ingest
 
@@ -194,6 +195,23 @@ def test_offline_rewrite():
     assert 'src="_assets/1.png"' in html and 'src="a.png.bak"' in html and "preconnect" not in html and "Content-Security-Policy" in html
 
 
+def test_offline_rewrite_of_pages_with_one_url(spark, tmp_path):
+    """The first page of a URL stands, in whatever order files are read (large ones first); so does the SQL in one thread."""
+    import duckdb
+    import pandas as pd
+
+    (tmp_path / "pages.parquet").mkdir()
+    page = lambda i, n: (i, "https://a.example/p", f'<head></head><img src="/{i}.png">' + "".join(f"{i} {k} " for k in range(n)))
+    for i, rows in enumerate(([page(1, 1)], [page(2, 50000), (3, "https://a.example/q", None)])):
+        pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(tmp_path / f"pages.parquet/{i}.parquet")
+    got = {r.url: r.html for r in assets.offline_rewrite(spark, str(tmp_path)).collect()}
+    assert "1 0 " in got["https://a.example/p"]
+    c = duckdb.connect()
+    c.execute("SET threads=1")
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == dict(c.execute(CATALOG["offline_rewrite"][1]).fetchall())
+
+
 def test_treemap():
     cells = documents.squarified([6.0, 6.0, 4.0, 3.0, 2.0, 2.0, 1.0], 0, 0, 6, 4)
     assert round(sum(w * h for _, _, w, h in cells), 6) == 24

@@ -185,9 +185,12 @@ def offline_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"url": b["url"], "html": [offline(h, dict(n or {})) for h, n in zip(b["html"], b["names"], strict=True)]})
+            yield pd.DataFrame({"url": b["url"], "html": [offline(h or "", dict(n or {})) for h, n in zip(b["html"], b["names"], strict=True)]})
 
-    return pages_with_assets(spark, sf_dir).dropDuplicates(["url"]).join(refs, "url", "left").select("url", "html", "names").mapInPandas(run, "url string, html string")
+    # Of pages with one URL the first one stands, the made-up ones last.
+    first = F.min_by("html", F.struct(F.col("html").isNull(), F.col("page_id").isNull(), "page_id", "html")).alias("html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(PAGES, "url string, html string"), allowMissingColumns=True)
+    return pages.groupBy("url").agg(first).join(refs, "url", "left").select("url", "html", "names").mapInPandas(run, "url string, html string")
 
 
 def asset_names_of(spark: SparkSession, refs: DataFrame) -> DataFrame:
