@@ -164,6 +164,23 @@ def test_chunks_keep_references_without_semicolon():
     assert dom.squeeze("\ufeff a\u00a0\u3000b\n") == "a b"
 
 
+def test_over_pages_hands_rows_on(spark):
+    """What a Python worker holds is bounded by rows and by markup, however many pages a batch has."""
+    import pandas as pd
+
+    class Pages:
+        sparkSession = spark
+        select = lambda self, *_: self
+        mapInPandas = staticmethod(lambda run, ddl: run)
+
+    def sizes(html, rows):
+        run = documents.over_pages(Pages(), lambda h: [(h[:1],)] * rows, "x string", ["x"])
+        return [len(d) for d in run(iter([pd.DataFrame({"scan": "s", "pid": range(3000), "html": html})]))]
+
+    assert sum(sizes("a", 10)) == 30000 and max(sizes("a", 10)) <= documents.HELD + 10
+    assert sum(sizes("a" * 100_000, 1)) == 3000 and max(sizes("a" * 100_000, 1)) <= documents.MARKUP // 100_000
+
+
 def test_queue_never_runs_more_than_it_may():
     """A job asked to pause keeps its place until its gate; another starts only then, and it goes on before new ones."""
     import threading

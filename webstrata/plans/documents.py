@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from webstrata.operators import extract as X
 from webstrata.plans.catalog import query
 from webstrata.plans.content import located
 from webstrata.plans.dashboard import LOC, P
+from webstrata.session import small_batches
 from webstrata.sources import corpus
 
 FAQ = [
@@ -22,21 +24,40 @@ FAQ = [
 ]
 
 
-def over_pages(pages: DataFrame, read: Callable[[str], list[tuple]], ddl: str, names: list[str]) -> DataFrame:
+#: Rows, and characters of the markup they come from, at which a Python worker hands its rows on; a page's stay together.
+HELD, MARKUP = 1000, 8_000_000
+
+
+def over_pages(pages: DataFrame, read: Callable[[str], Iterable[tuple]], ddl: str, names: list[str]) -> DataFrame:
     """Rows that ``read`` makes of each page's tree; only keys and markup travel to Python."""
+    columns = ["scan", "pid", *names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(s, p, *r) for s, p, h in zip(b["scan"], b["pid"], b["html"], strict=True) for r in read(h or "")], columns=["scan", "pid", *names])
-
+            held, markup = [], 0
+            for s, p, h in zip(b["scan"], b["pid"], b["html"], strict=True):
+                held += [(s, p, *r) for r in read(h or "")]
+                markup += len(h or "")
+                if len(held) >= HELD or (held and markup >= MARKUP):
+                    yield pd.DataFrame(held, columns=columns)
+                    held, markup = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=columns)
+
+    small_batches(pages.sparkSession)
     return pages.select("scan", "pid", "html").mapInPandas(run, f"scan string, pid long, {ddl}")
 
 
+def links_by_region(pages: DataFrame, groups: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """scan, pid, region, links. A page's links are counted where its tree is; rows of one page are added up."""
+    r = over_pages(pages, lambda html: Counter(r[3] for r in dom.regions(html, groups)).items(), "region string, links long", ["region", "links"])
+    return r.groupBy("scan", "pid", "region").agg(F.sum("links").alias("links"))
+
+
 @query("link_regions", f"WITH {P}, {X.links_sql()}, n AS (SELECT scan, pid, CAST(len(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?i)<nav[^>]*>[\\s\\S]*?</nav>', 0), ''), '(?i)<a\\s[^>]*href', 0)) AS BIGINT) AS nav, CAST(len(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?i)<footer[^>]*>[\\s\\S]*?</footer>', 0), ''), '(?i)<a\\s[^>]*href', 0)) AS BIGINT) AS footer, CAST(len(regexp_extract_all(html, '(?i)<(?:a|area)\\s[^>]*href', 0)) AS BIGINT) AS total FROM page) SELECT scan, pid, region, n AS links FROM (SELECT scan, pid, 'nav' AS region, nav AS n FROM n UNION ALL SELECT scan, pid, 'footer', footer FROM n UNION ALL SELECT scan, pid, 'content', total - nav - footer FROM n) WHERE n > 0")
 def link_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by region of the page."""
-    r = over_pages(corpus.pages(spark, sf_dir), dom.regions, "pos long, href string, text string, region string", ["pos", "href", "text", "region"])
-    return r.groupBy("scan", "pid", "region").agg(F.count(F.lit(1)).alias("links"))
+    return links_by_region(corpus.pages(spark, sf_dir))
 
 
 #: What a reader finds on the made-up pages; captured pages hold no question of any of the four kinds.

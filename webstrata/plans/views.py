@@ -106,9 +106,7 @@ _OWN_TOKEN = _TOKEN + r"|<ul[\s>]|</ul>"
 @query("link_groups", f"WITH {P}, tok AS (SELECT scan, pid, url, unnest(range(0, len(t))) AS i, unnest(t) AS tok FROM (SELECT *, {Duck.every('html', _OWN_TOKEN, 0)} AS t FROM page)), dep AS (SELECT *, CASE WHEN {_depth('nav')} > 0 AND {_depth('ul')} > 0 THEN 'Top list' WHEN {_depth('nav')} > 0 THEN 'nav' WHEN {_depth('footer')} > 0 THEN 'footer' ELSE 'content' END AS region FROM tok) SELECT scan, pid, region, CAST(count(*) AS BIGINT) AS links FROM dep WHERE regexp_matches(tok, '(?i)^<(?:a|area)\\s[^>]*href') GROUP BY ALL")
 def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by the groups in force: the site's own, then the defaults that are left."""
-    groups = dom.chrome_groups(OWN, ("header",))
-    r = documents.over_pages(corpus.pages(spark, sf_dir), lambda html: dom.regions(html, groups), "pos long, href string, text string, region string", ["pos", "href", "text", "region"])
-    return r.groupBy("scan", "pid", "region").agg(F.count(F.lit(1)).alias("links"))
+    return documents.links_by_region(corpus.pages(spark, sf_dir), dom.chrome_groups(OWN, ("header",)))
 
 
 #: A site's own rules for questions, one of them no selector; and what they find on the made-up pages.
