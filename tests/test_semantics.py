@@ -1,5 +1,6 @@
 """What the analyses have to say about small sites, stated by hand."""
 
+import re
 import threading
 import time
 
@@ -81,6 +82,21 @@ def test_findings_of_the_trio(spark):
     assert got["inconsistent-sameas"].pages_affected == 2
 
 
+def test_pages_are_stripped_once(spark):
+    """Profile, facts and copyright year share one text; what each says is the same as alone."""
+    rows = [("s", 1, "https://a.example/", "a", "<script>x</script><p>Ring&nbsp;0800 111\u00a02222 &AMP; \u3000 a&amp;b.\u2003\ufeff</p>© 2019 <img alt='0141 555 0192'>" + " \n" * 20000), ("s", 2, "u", "b", "plain"), ("s", 3, "v", "c", None)]
+    pages = spark.createDataFrame(rows, "scan string, pid long, url string, path string, html string")
+    read = findings.stated(pages)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"html#\d+, \(\?i\)<script\[", plan)) == 1
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(X.listed(read), X.facts(pages)) and X.listed(read).count() == 1
+    assert same(read.select(*X.KEY, *X.PROFILE), X.profile(pages))
+    assert same(read.filter("year is not null").select("scan", "pid", "path", "year"), findings.content.dated(pages))
+    shown = pages.select(F.expr(S.shown(Spark, S.extract_text(Spark, "html"))).alias("a"), F.expr(S.visible_text(Spark, "html")).alias("b"))
+    assert shown.filter("not (a <=> b)").count() == 0 and shown.first().b.startswith("Ring 0800 111 2222 & a&b. © 2019")
+
+
 def test_ratings(spark):
     v2 = {r.scan: r for r in rating.rating(rating.found(spark), 2).collect()}
     assert v2["half.example"].score == v2["half.big.example"].score

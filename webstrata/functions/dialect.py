@@ -9,10 +9,15 @@ from __future__ import annotations
 #: White space as browsers see it, wider than ASCII.
 WIDE = r"\s\x0B\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
+#: The same for Java: most characters are told from white space by a table or by being Latin, not by all of the class.
+SPACES = r"(?:[\t\n\x0B\f\r \x{00a0}]|(?![\x{00}-\x{ff}])[" + WIDE + "])[" + WIDE + "]*"
+
 
 class Spark:
     #: A word boundary before a word character, and one after it: cheaper than ``EDGE``, which looks both ways.
     START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    #: A zero at the start of a word: most characters are told from it without looking back.
+    ZERO = "0(?<![A-Za-z0-9_]0)"
     EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
     @staticmethod
@@ -62,6 +67,7 @@ class Spark:
 
 class Duck:
     START = END = EDGE = r"\b"
+    ZERO = r"\b0"
 
     @staticmethod
     def rep(e: str, pattern: str, by: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webstrata.functions.dialect import WIDE
+from webstrata.functions.dialect import SPACES, WIDE
 
 URL_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 URL_PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -28,6 +28,8 @@ ORG = r"(?i)Organization|Corporation|LocalBusiness|BankOrCreditUnion"
 
 def squeeze(D, e: str) -> str:
     """Runs of white space to one space, trimmed."""
+    if D.__name__ == "Spark":
+        return f"trim({D.rep(e, SPACES, ' ')})"
     return D.rep(D.rep(e, f"[{WIDE}]+", " "), "^ | $", "")
 
 
@@ -54,6 +56,13 @@ def extract_text(D, e: str) -> str:
     return squeeze(D, unscripted(D, e))
 
 
+def shown(D, text: str) -> str:
+    """``visible_text`` from the ``extract_text`` of a page."""
+    spaced = D.rep(text, "(?i)&nbsp;", " ")
+    decoded = lambda e: D.rep(e, "(?i)&amp;", "&")
+    return f"case when not {D.contains(text, chr(39) + '&' + chr(39))} then {text} when {D.like(text, '(?i)&nbsp;')} then {squeeze(D, decoded(spaced))} else {decoded(text)} end"
+
+
 def host(D, url: str) -> str:
     return f"lower({D.ext(url, URL_HOST)})"
 
@@ -125,7 +134,7 @@ def phone_key(D, e: str) -> str:
 
 
 def phones(D, text: str) -> str:
-    found = D.map(D.every(text, rf"(?:\+44\s?|{D.START}0)(?:\d[\d\s-]{{8,12}}\d)", 0), "v", trimmed(D, "v"))
+    found = D.map(D.every(text, rf"(?:\+44\s?|{D.ZERO})(?:\d[\d\s-]{{8,12}}\d)", 0), "v", trimmed(D, "v"))
     return D.distinct(D.keep(found, "v", f"length({phone_key(D, 'v')}) between 10 and 13"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import scalars as S
@@ -91,8 +91,16 @@ FACTS = {"phone": S.phones, "email": S.emails, "postcode": S.postcodes, "price":
 def facts(pages: DataFrame) -> DataFrame:
     """(kind, value) facts of every page's visible text, once per page."""
     text = pages.select(*KEY, F.explode(F.array(F.expr(S.visible_text(Spark, "html")))).alias("text"))
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(f(Spark, "text")).alias("found")) for k, f in FACTS.items()))
-    return text.select(*KEY, F.explode(kinds).alias("k")).select(*KEY, "k.kind", F.explode("k.found").alias("value"))
+    return listed(text.select(*KEY, kinds("text").alias("kinds")))
+
+
+def kinds(text: str) -> Column:
+    """What a text states, by kind."""
+    return F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(f(Spark, text)).alias("found")) for k, f in FACTS.items()))
+
+
+def listed(stated: DataFrame) -> DataFrame:
+    return stated.select(*KEY, F.explode("kinds").alias("k")).select(*KEY, "k.kind", F.explode("k.found").alias("value"))
 
 
 def facts_sql() -> str:
@@ -154,8 +162,18 @@ def profile_columns(D) -> dict[str, str]:
 
 def profile(pages: DataFrame) -> DataFrame:
     """What a machine reader can take from a page; facts that only image texts state."""
-    out = pages.select(*KEY, *(F.expr(e).alias(c) for c, e in profile_columns(Spark).items()))
-    return out.select(*KEY, "has_main", "headings", "question_headings", "has_table", "has_time", F.char_length("text").cast("long").alias("text_length"), F.expr("filter(alts, a -> not contains(text, a))").alias("image_facts"))
+    return stripped(pages).select(*KEY, *PROFILE)
+
+
+PROFILE = ("has_main", "headings", "question_headings", "has_table", "has_time", "text_length", "image_facts")
+
+
+def stripped(pages: DataFrame) -> DataFrame:
+    """Profile of every page, with its ``text``: pages are stripped of their markup once."""
+    columns = profile_columns(Spark)
+    text = F.explode(F.array(F.expr(columns.pop("text")))).alias("text")
+    out = pages.select(*KEY, *(F.expr(e).alias(c) for c, e in columns.items()), text)
+    return out.select(*KEY, *PROFILE[:5], F.char_length("text").cast("long").alias("text_length"), F.expr("filter(alts, a -> not contains(text, a))").alias("image_facts"), "text")
 
 
 def profile_sql() -> str:

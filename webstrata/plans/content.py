@@ -137,7 +137,8 @@ YEARS = f"visible AS (SELECT scan, pid, url, path, {S.visible_text(Duck, 'html')
 
 def dated(pages: DataFrame) -> DataFrame:
     """Newest copyright year of every page that states one."""
-    text = pages.select(*X.KEY, F.expr(S.visible_text(Spark, "html")).alias("text"))
+    # A generator, so that the filter below doesn't strip the page again.
+    text = pages.select(*X.KEY, F.explode(F.array(F.expr(S.visible_text(Spark, "html")))).alias("text"))
     return text.select("scan", "pid", "path", F.array_max(F.expr(years(Spark))).alias("year")).filter("year is not null")
 
 

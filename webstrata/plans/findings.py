@@ -100,13 +100,19 @@ def _same_key(D) -> str:
     return D.join(f"{sort}({D.map(kept, 'u', D.rep('lower(trim(u))', '/+$', ''))})", " ")
 
 
+def stated(pages: DataFrame) -> DataFrame:
+    """Profile, facts and newest copyright year of every page, from one text."""
+    text = X.stripped(pages)
+    text = text.select(*X.KEY, *X.PROFILE, F.explode(F.array(F.expr(S.shown(Spark, "text")))).alias("text"))
+    return text.select(*X.KEY, *X.PROFILE, X.kinds("text").alias("kinds"), F.array_max(F.expr(content.years(Spark))).alias("year"))
+
+
 def evidence(pages: DataFrame, broken: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All evidence rows, and the counts per scan. Metadata, facts and nodes are extracted once each."""
     meta = materialise(X.page_meta(pages).drop("size"))
-    facts = materialise(X.facts(pages))
+    read = materialise(stated(pages))
+    facts, profile, dated = X.listed(read), read, read.filter("year is not null")
     ld = materialise(X.jsonld(pages))
-    profile = materialise(X.profile(pages))
-    dated = materialise(content.dated(pages))
     page = F.col("pid").cast("string").alias("page")
 
     def rows(df: DataFrame, id_: str | Column, key: str | Column, value: str | Column | None = None) -> DataFrame:
